@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 BLOCK_ROWS = 2_048
 
 
+def _field(name: str):
+    return lambda r: r[name]
+
+
 def pack(df: DataFrame, keys, cols, id_col: str, block_rows: int = BLOCK_ROWS, prefix: str = "") -> DataFrame:
     """One row per (key, block): ``<prefix>blk``, ``<prefix>nblk`` and one array per column."""
     keys = list(keys)
@@ -23,7 +27,7 @@ def pack(df: DataFrame, keys, cols, id_col: str, block_rows: int = BLOCK_ROWS, p
     n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("long").alias(nblk))
     salted = df.join(n, keys).withColumn(blk, F.pmod(F.xxhash64(id_col), F.col(nblk)))
     packed = salted.groupBy(*keys, nblk, blk).agg(F.collect_list(F.struct(*cols)).alias("_rows"))
-    return packed.select(*keys, nblk, blk, *[F.transform("_rows", lambda r, c=c: r[c]).alias(f"{prefix}{c}") for c in cols])
+    return packed.select(*keys, nblk, blk, *[F.transform("_rows", _field(c)).alias(f"{prefix}{c}") for c in cols])
 
 
 def self_pairs(packed: DataFrame, keys) -> DataFrame:

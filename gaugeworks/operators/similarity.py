@@ -29,14 +29,14 @@ def knn(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int, block_
     Vector blocks meet by an equi join on block numbers; every block pair is one
     matrix product that keeps k rows per query.
     """
-    a = blocks.pack(test.withColumn("_g", F.lit(0)).withColumn("_id", F.col(id_col)), ["_g"], ["_id", vec], "_id", block_rows, "a_")
-    b = blocks.pack(train.withColumn("_g", F.lit(0)).withColumn("_id", F.col(id_col)), ["_g"], ["_id", vec], "_id", block_rows, "b_")
+    a = blocks.pack(test.withColumn("g0", F.lit(0)).withColumn("rid", F.col(id_col)), ["g0"], ["rid", vec], "rid", block_rows, "a_")
+    b = blocks.pack(train.withColumn("g0", F.lit(0)).withColumn("rid", F.col(id_col)), ["g0"], ["rid", vec], "rid", block_rows, "b_")
     # keep the vectors of a block flat for Arrow
     a = a.withColumn(f"a_{vec}", F.flatten(f"a_{vec}"))
     b = b.withColumn(f"b_{vec}", F.flatten(f"b_{vec}"))
 
     def kernel(row):
-        aid, bid = np.asarray(row.a__id), np.asarray(row.b__id)
+        aid, bid = np.asarray(row.a_rid), np.asarray(row.b_rid)
         A = np.asarray(getattr(row, "a_" + vec), float).reshape(len(aid), -1)
         B = np.asarray(getattr(row, "b_" + vec), float).reshape(len(bid), -1)
         order = np.argsort(bid, kind="stable")
@@ -46,9 +46,9 @@ def knn(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int, block_
         return {"query": np.repeat(aid, top.shape[1]), "neighbour": bid[top].ravel(),
                 "d": np.sqrt(np.take_along_axis(d2, top, axis=1)).ravel()}
 
-    cand = blocks.reduce_pairs(blocks.cross_pairs(a, b, ["_g"]), ["_g"], kernel, "query long, neighbour long, d double")
+    cand = blocks.reduce_pairs(blocks.cross_pairs(a, b, ["g0"]), ["g0"], kernel, "query long, neighbour long, d double")
     w = W.partitionBy("query").orderBy(F.round("d", 8), "neighbour")   # at most k rows per train block
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_g")
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("g0")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, vec: str, label: str, k: int = 5) -> DataFrame:

@@ -15,7 +15,7 @@ from . import blocks
 
 
 def _keyed(df: DataFrame, keys):
-    return (df, list(keys)) if keys else (df.withColumn("_g", F.lit(0)), ["_g"])
+    return (df, list(keys)) if keys else (df.withColumn("g0", F.lit(0)), ["g0"])
 
 
 def _xy(row, p):
@@ -43,7 +43,7 @@ def idw(stations: DataFrame, cells: DataFrame, keys, cell_id: str, value: str =
 
     id_type = cells.schema[cell_id].dataType.simpleString()
     part = blocks.reduce_pairs(blocks.cross_pairs(cp, sp, k), k, kernel, f"{cell_id} {id_type}, num double, den double")
-    return part.groupBy(*k, cell_id).agg((F.sum("num") / F.sum("den")).alias("pred")).drop("_g")
+    return part.groupBy(*k, cell_id).agg((F.sum("num") / F.sum("den")).alias("pred")).drop("g0")
 
 
 def tiles_within(df: DataFrame, tile: float, ring: int = 0) -> DataFrame:
@@ -81,7 +81,7 @@ def idw_within(stations: DataFrame, cells: DataFrame, keys, cell_id: str, max_di
     id_type = cells.schema[cell_id].dataType.simpleString()
     part = blocks.reduce_pairs(blocks.cross_pairs(cp, sp, tk), k, kernel, f"{cell_id} {id_type}, num double, den double")
     return (part.groupBy(*k, cell_id).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-            .filter("den > 0").withColumn("pred", F.col("num") / F.col("den")).drop("num", "den", "_g"))
+            .filter("den > 0").withColumn("pred", F.col("num") / F.col("den")).drop("num", "den", "g0"))
 
 
 def _distance(a, b):
@@ -98,7 +98,7 @@ def _packed(df, keys, value, block_rows):
 def pair_distance_quantile(stations: DataFrame, keys, prob: float = 0.9, value: str = "value",
                            block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     s, k = _keyed(stations, keys)
-    return blocks.pair_quantile(_packed(s, k, value, block_rows), k, _distance, prob, "max_dist").drop("_g")
+    return blocks.pair_quantile(_packed(s, k, value, block_rows), k, _distance, prob, "max_dist").drop("g0")
 
 
 def variogram(stations: DataFrame, keys, value: str = "value", n_bins: int = 15, max_dist: float | None = None,
@@ -136,7 +136,7 @@ def variogram(stations: DataFrame, keys, value: str = "value", n_bins: int = 15,
     spine = lim.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
     out = spine.join(agg, k + ["bin"], "left")
     width = F.col("max_dist") / n_bins
-    return out.select(*[c for c in k if c != "_g"], "bin", ((F.col("bin") + 0.5) * width).alias("lag"),
+    return out.select(*[c for c in k if c != "g0"], "bin", ((F.col("bin") + 0.5) * width).alias("lag"),
                       (F.col("g") / F.col("n")).alias("gamma"), F.coalesce("n", F.lit(0).cast("long")).alias("n_pairs"))
 
 
@@ -155,13 +155,13 @@ def nearest(stations: DataFrame, cells: DataFrame, keys, cell_id: str, k_near: i
     s, k = _keyed(stations, keys)
     c, _ = _keyed(cells, keys)
     cols = list(cols)
-    sp = blocks.pack(s.withColumn("_id", F.col("id")), k, ["_id", *cols], "id", block_rows, "b_")
-    cp = blocks.pack(c.withColumn("_id", F.col(cell_id)), k, ["_id", *cols], cell_id, block_rows, "a_")
+    sp = blocks.pack(s.withColumn("rid", F.col("id")), k, ["rid", *cols], "id", block_rows, "b_")
+    cp = blocks.pack(c.withColumn("rid", F.col(cell_id)), k, ["rid", *cols], cell_id, block_rows, "a_")
 
     def kernel(row):
         a = np.column_stack([np.asarray(getattr(row, "a_" + x), float) for x in cols])
         b = np.column_stack([np.asarray(getattr(row, "b_" + x), float) for x in cols])
-        aid, bid = np.asarray(row.a__id), np.asarray(row.b__id)
+        aid, bid = np.asarray(row.a_rid), np.asarray(row.b_rid)
         order = np.argsort(bid, kind="stable")
         b, bid = b[order], bid[order]
         q, n, d = [], [], []
@@ -177,7 +177,7 @@ def nearest(stations: DataFrame, cells: DataFrame, keys, cell_id: str, k_near: i
     st = stations.schema["id"].dataType.simpleString()
     cand = blocks.reduce_pairs(blocks.cross_pairs(cp, sp, k), k, kernel, f"{cell_id} {ct}, id {st}, d double")
     w = W.partitionBy(*k, cell_id).orderBy("d", "id")   # at most k rows per station block
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k_near).drop("_g")
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k_near).drop("g0")
 
 
 def exponential_cov(h, sill, rng):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
 from . import blocks
-from .ordered import quantiles
+from .ordered import HOT_ROWS, quantiles
 from .series import chunked
 
 
@@ -47,17 +47,30 @@ def mann_kendall(df: DataFrame, keys, order: str, value: str, block_rows: int =
             .select(*keys, F.col("s").cast("long").alias("s"), "z", "p_value", "n"))
 
 
+def pair_counts(df: DataFrame, keys, order: str, value: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """Number of time-ordered pairs and of pairs in which the later value is larger."""
+    keys = list(keys)
+
+    def kernel(row):
+        v = blocks.pair_values(row, _sign)
+        return {"n": [v.size], "up": [int((v > 0).sum())]}
+
+    part = blocks.reduce_pairs(blocks.self_pairs(_packed(df, keys, order, value, block_rows), keys), keys, kernel, "n long, up long")
+    return part.groupBy(*keys).agg(F.sum("n").alias("n_pairs"), F.sum("up").alias("n_up"))
+
+
 def sen_slope(df: DataFrame, keys, order: str, value: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Median of all pairwise slopes per step."""
     return blocks.pair_quantile(_packed(df, keys, order, value, block_rows), keys, _slope, 0.5, "sen_slope")
 
 
-def sen_line(df: DataFrame, keys, order: str, value: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+def sen_line(df: DataFrame, keys, order: str, value: str, block_rows: int = blocks.BLOCK_ROWS,
+             hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Slope and the median intercept of ``value - slope * order``."""
     keys = list(keys)
     slope = sen_slope(df, keys, order, value, block_rows)
     resid = df.join(slope, keys).withColumn("_r", F.col(value) - F.col("sen_slope") * F.col(order))
-    return slope.join(quantiles(resid, keys, "_r", {"intercept": 0.5}), keys)
+    return slope.join(quantiles(resid, keys, "_r", {"intercept": 0.5}, hot_rows), keys)
 
 
 def lag1_autocorr(df: DataFrame, keys, order: str, value: str) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries: importing a query module fills the registry."""
 
-from . import base, metric_queries, series_queries  # noqa: F401
+from . import base, climate_queries, metric_queries, series_queries, space_queries  # noqa: F401

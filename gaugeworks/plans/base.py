@@ -109,7 +109,7 @@ STATION = ["station"]
 def station_hours(spark, d) -> DataFrame:
     return read(spark, d, "events").groupBy(
         F.col("event_type").alias("station"), F.date_trunc("hour", "ts").alias("ts")).agg(
-        F.round(F.avg("value"), 6).alias("pm25"), F.count(F.lit(1)).cast("double").alias("wind"),
+        (F.round(F.sum("value"), 2) / F.count(F.lit(1))).alias("pm25"), F.count(F.lit(1)).cast("double").alias("wind"),
         F.max("value").alias("temp"), F.count_distinct("user_id").cast("double").alias("boundary_layer"))
 
 
@@ -122,7 +122,7 @@ def hourly_roled(spark, d) -> DataFrame:
     return splits.time_split(hourly(spark, d), STATION, "pos", n="n_steps")
 
 
-CTE["hourly"] = """hrs AS (SELECT event_type AS station, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS pm25,
+CTE["hourly"] = """hrs AS (SELECT event_type AS station, date_trunc('hour', ts) AS ts, round(sum(value), 2) / count(*) AS pm25,
     CAST(count(*) AS DOUBLE) AS wind, max(value) AS temp, CAST(count(DISTINCT user_id) AS DOUBLE) AS boundary_layer
   FROM events GROUP BY 1, 2),
 hspan AS (SELECT min(ts) AS lo, max(ts) AS hi FROM hrs),
@@ -144,7 +144,7 @@ def catchment(spark, d) -> DataFrame:
     days = read(spark, d, "lineitem").groupBy(
         F.col("l_returnflag").alias("gauge_id"), F.to_date("l_shipdate").alias("date")).agg(
         F.sum("l_quantity").alias("precip"), F.round(F.sum("l_extendedprice") / 1000.0, 5).alias("streamflow"),
-        F.round(F.avg("l_discount") * 300.0, 6).alias("temperature"))
+        (F.round(F.sum("l_discount"), 2) * 300.0 / F.count(F.lit(1))).alias("temperature"))
     dense = densify(days, GAUGE, "date", "day", {"precip": 0.0, "streamflow": 0.0, "temperature": 0.0})
     return dense.withColumn("pet", scalars.pet(F.col("temperature"), F.dayofyear("date")))
 
@@ -154,7 +154,7 @@ def catchment_roled(spark, d) -> DataFrame:
 
 
 CTE["catchment"] = """cdays AS (SELECT l_returnflag AS gauge_id, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS precip,
-    round(sum(l_extendedprice) / 1000.0, 5) AS streamflow, round(avg(l_discount) * 300.0, 6) AS temperature
+    round(sum(l_extendedprice) / 1000.0, 5) AS streamflow, round(sum(l_discount), 2) * 300.0 / count(*) AS temperature
   FROM lineitem GROUP BY 1, 2),
 cspan AS (SELECT min(date) AS lo, max(date) AS hi FROM cdays),
 cdense AS (SELECT k.gauge_id, CAST(c.d AS DATE) AS date, coalesce(v.precip, 0.0) AS precip,

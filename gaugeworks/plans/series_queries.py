@@ -81,7 +81,7 @@ def _(spark, d):
 
 
 @query("p5_spatial_design", with_("coords cells", """SELECT cell_id, x / 40.0 AS fx, y / 40.0 AS fy, cov AS fcov, (x / 40.0) * (y / 40.0) AS fxy,
-    cov * cov AS fcov2, (x / 40.0) * cov AS fxcov, (y / 40.0) * cov AS fycov FROM cells"""), "9: fx fy fcov fxy fcov2 fxcov fycov")
+    cov * cov AS fcov2, (x / 40.0) * cov AS fxcov, (y / 40.0) * cov AS fycov FROM cells"""))
 def _(spark, d):
     c = scalars.spatial_design(F.col("x"), F.col("y"), F.col("cov"), 40.0)
     return cells(spark, d).select("cell_id", *[v.alias(k) for k, v in c.items()])
