@@ -119,8 +119,7 @@ _DST = dict(x0=-39.0, dx=2.2, nx=36, y0=-39.5, dy=1.1, ny=72)
 
 @query("j13_bilinear_regrid", with_("sparse", "").rstrip() + ",\nfl AS (SELECT layer, iy, ix, coalesce(value, 0.0) AS value FROM sparse)\n"
        + f"SELECT layer, ty, tx, sampled AS value FROM ({_bilinear_sql('tgt', 'p.layer, p.ty_i AS ty, p.tx_i AS tx', AXES, 'fl', 'layer')})".replace(
-           "FROM tgt", "FROM (SELECT DISTINCT layer, t % 36 AS tx_i, t // 36 AS ty_i, -39.0 + (t % 36) * 2.2::DOUBLE AS x, -39.5 + (t // 36) * 1.1::DOUBLE AS y FROM fl, (SELECT unnest(range(36 * 72)) AS t)) tgt"),
-       "3: value")
+           "FROM tgt", "FROM (SELECT DISTINCT layer, t % 36 AS tx_i, t // 36 AS ty_i, -39.0 + (t % 36) * 2.2::DOUBLE AS x, -39.5 + (t // 36) * 1.1::DOUBLE AS y FROM fl, (SELECT unnest(range(36 * 72)) AS t)) tgt"))
 def _(spark, d):
     f = sparse_field(spark, d).fillna({"value": 0.0})
     return raster.regrid_bilinear(f, ["layer"], AXES, _DST)
