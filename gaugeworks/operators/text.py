@@ -167,9 +167,8 @@ def keyword_triples(df: DataFrame, text: str, voc: Vocabulary = Vocabulary(), ou
 
 def cue_triples(df: DataFrame, text: str, voc: Vocabulary = Vocabulary(), out: str = "triple") -> DataFrame:
     """One triple from the first two distinct terms and the first matching cue; NULL if none."""
-    d = _term_sequence(df, text, voc, True, "_t")
-    first = F.try_element_at("_t", F.lit(1))
-    d = d.withColumn("_a", first).withColumn("_b", F.try_element_at(F.filter("_t", lambda t: t != F.col("_a")), F.lit(1)))
+    d = _term_sequence(df, text, voc, True, "_t").withColumn("_t", F.slice(F.array_distinct("_t"), 1, 2))
+    d = d.withColumn("_a", F.try_element_at("_t", F.lit(1))).withColumn("_b", F.try_element_at("_t", F.lit(2)))
     lower = F.lower(text)
     pick = None
     for pattern, rel, order in voc.cues:
@@ -187,11 +186,12 @@ def extract_all(df: DataFrame, id_col: str, text: str, method: str = "cue", voc:
     """(id, subject, relation, object) rows; ``extractor`` may be any df -> df with those columns."""
     if extractor is not None:
         return extractor(df)
+    # inline_outer keeps the optimizer from copying the extraction into a pre-filter
     if method == "cue":
-        d = cue_triples(df, text, voc).filter(F.col("triple").isNotNull())
-        return d.select(id_col, "triple.subject", "triple.relation", "triple.object")
-    d = keyword_triples(df, text, voc)
-    return d.select(id_col, F.explode("triples").alias("t")).select(id_col, "t.subject", "t.relation", "t.object")
+        d = cue_triples(df, text, voc).select(id_col, F.inline_outer(F.array("triple")))
+    else:
+        d = keyword_triples(df, text, voc).select(id_col, F.inline_outer("triples"))
+    return d.filter(F.col("subject").isNotNull())
 
 
 def invalid_triples(triples: DataFrame, voc: Vocabulary = Vocabulary()) -> DataFrame:

@@ -73,13 +73,13 @@ def _spans_sql(cte, words, names):
 @query("l1_term_spans", _spans_sql("marked", _TERMS, _TERMS))
 def _(spark, d):
     t = text.tag_terms(docs(spark, d), "text", VOC)
-    return t.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.pos", "s.term")
+    return t.select("doc_id", F.inline_outer("spans")).filter("pos is not null")
 
 
 @query("l2_alias_spans", _spans_sql("amarked", _ALL_WORDS, _ALL_NAMES))
 def _(spark, d):
     t = text.tag_terms(docs(spark, d), "text", VOC, aliases=True)
-    return t.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.pos", "s.term")
+    return t.select("doc_id", F.inline_outer("spans")).filter("pos is not null")
 
 
 _REL_OF = {v: r for r, vs in VOC.verbs.items() for v in vs}
