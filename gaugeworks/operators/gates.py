@@ -36,44 +36,63 @@ def has_placeholder(text: Column) -> Column:
     return _any_of(F.lower(F.coalesce(text, F.lit(""))), SENTINELS)
 
 
-def citation(text: Column) -> Column:
-    """Violations of the citation rules, in rule order."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    low = F.lower(t)
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def _citation_checks(t: str, low: str, words: str) -> dict[str, Column]:
+    """Rule name -> violated?, over the prepared columns (trimmed, lower-cased, word count)."""
     papers = F.filter(F.split(t, r";\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " ")) != "")
-    multi = F.size(papers) >= 2
-    words = word_count(t)
+    multi = F.contains(F.col(t), F.lit(";")) & (F.size(papers) >= 2)
     quoted = F.lit(False)
     for q in QUOTES:
-        quoted = quoted | F.contains(t, F.lit(q))
-    checks = [("placeholder", has_placeholder(t)),
-              ("no_year", ~t.rlike("(?U)" + YEAR)),
-              ("no_venue", ~_any_of(low, VENUES)),
-              ("no_id_or_title", ~(t.rlike(ARXIV) | quoted)),
-              ("no_relevance", ~_any_of(low, RELEVANCE)),
-              ("bare_tag", t.rlike("(?U)" + BARE_TAG)),
-              ("too_short", words < F.when(multi, WORD_FLOORS["citations_multi"]).otherwise(WORD_FLOORS["citations_single"]))]
-    found = F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks]))
-    return F.when(t == "", F.array(F.lit("empty"))).otherwise(found)
-
-
-def annotation(fields: dict[str, Column], post_run: bool = False) -> Column:
-    """Violations of an experiment annotation: word floors, keywords, range, placeholders, citation rules."""
-    floors = ["diagnosis", "hypothesis", "prediction"] + (["verdict", "learning"] if post_run else [])
-    kw = ["hypothesis"] + (["verdict", "learning"] if post_run else [])
-    texts = ["diagnosis", "citations", "hypothesis", "prediction"] + (["verdict", "learning"] if post_run else [])
-    checks = [(f"{f}_too_short", word_count(fields[f]) < WORD_FLOORS[f]) for f in floors]
-    checks += [(f"{f}_keyword", ~_any_of(F.lower(F.coalesce(fields[f], F.lit(""))), KEYWORDS[f])) for f in kw]
-    checks += [("prediction_range", ~F.coalesce(fields["prediction"], F.lit("")).rlike(RANGE))]
-    checks += [(f"{f}_placeholder", has_placeholder(fields[f])) for f in texts]
-    own = F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks]))
-    return F.concat(own, F.transform(citation(fields["citations"]), lambda v: F.concat(F.lit("citations:"), v)))
+        quoted = quoted | F.contains(F.col(t), F.lit(q))
+    return {"placeholder": _any_of(F.col(low), SENTINELS),
+            "no_year": ~F.col(t).rlike("(?U)" + YEAR),
+            "no_venue": ~_any_of(F.col(low), VENUES),
+            "no_id_or_title": ~(F.col(t).rlike(ARXIV) | quoted),
+            "no_relevance": ~_any_of(F.col(low), RELEVANCE),
+            "bare_tag": F.col(t).rlike("(?U)" + BARE_TAG),
+            "too_short": F.col(words) < F.when(multi, WORD_FLOORS["citations_multi"]).otherwise(WORD_FLOORS["citations_single"])}
+
+
+def _labels(flags: list[str], prefix: str) -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(f"{prefix}{n}"), n) for n in flags]))
+
+
+def check_citations(df: DataFrame, text: str, out: str = "violations") -> DataFrame:
+    """Array of violated citation rules, in rule order; ``["empty"]`` for blank text.
+
+    Text is trimmed, lower-cased and counted once per row in its own
+    projection; the rules are plain boolean columns over those.
+    """
+    d = df.withColumn("_ct", _trimmed(F.col(text)))
+    d = d.withColumns({"_cl": F.lower("_ct"), "_cw": word_count(F.col("_ct"))})
+    checks = _citation_checks("_ct", "_cl", "_cw")
+    d = d.withColumns({f"_cf_{n}": c for n, c in checks.items()})
+    d = d.withColumn(out, F.when(F.col("_ct") == "", F.array(F.lit("empty"))).otherwise(_labels(list(checks), "_cf_")))
+    return d.drop("_ct", "_cl", "_cw", *[f"_cf_{n}" for n in checks])
 
 
 def check_annotations(df: DataFrame, post_run: bool = False) -> DataFrame:
-    names = ["diagnosis", "citations", "hypothesis", "prediction", "verdict", "learning"]
-    v = annotation({n: F.col(n) for n in names if n in df.columns}, post_run)
-    return df.withColumn("violations", v).withColumn("passed", F.size("violations") == 0)
+    """Adds ``violations`` and ``passed``: word floors, keywords, numeric range, placeholders, citation rules.
+
+    Before a run only diagnosis, citations, hypothesis and prediction count;
+    ``post_run`` adds verdict and learning.
+    """
+    extra = ["verdict", "learning"] if post_run else []
+    texts = ["diagnosis", "citations", "hypothesis", "prediction"] + extra
+    d = check_citations(df, "citations", "_cite")
+    d = d.withColumns({f"_l_{f}": F.lower(F.coalesce(F.col(f), F.lit(""))) for f in texts})
+    d = d.withColumns({f"_w_{f}": word_count(F.col(f)) for f in texts if f != "citations"})
+    checks = {f"{f}_too_short": F.col(f"_w_{f}") < WORD_FLOORS[f] for f in ["diagnosis", "hypothesis", "prediction"] + extra}
+    checks |= {f"{f}_keyword": ~_any_of(F.col(f"_l_{f}"), KEYWORDS[f]) for f in ["hypothesis"] + extra}
+    checks["prediction_range"] = ~F.coalesce(F.col("prediction"), F.lit("")).rlike(RANGE)
+    checks |= {f"{f}_placeholder": _any_of(F.col(f"_l_{f}"), SENTINELS) for f in texts}
+    d = d.withColumns({f"_af_{n}": c for n, c in checks.items()})
+    cite = F.transform("_cite", lambda v: F.concat(F.lit("citations:"), v))
+    d = d.withColumn("violations", F.concat(_labels(list(checks), "_af_"), cite)).withColumn("passed", F.size("violations") == 0)
+    return d.drop("_cite", *[c for c in d.columns if c.startswith(("_l_", "_w_", "_af_"))])
 
 
 def checklist(results: dict[str, DataFrame]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -144,7 +145,8 @@ def gbt_calibrated(train: DataFrame, xs, label: str, id_col: str, folds: int = 3
     from pyspark.ml.regression import IsotonicRegression
     from ..functions.scalars import md5_int
     fold = md5_int(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))) % folds
-    d = assemble(train, xs).withColumn("_fold", fold).withColumn(label, F.col(label).cast("double"))
+    d = assemble(train, xs).select("features", fold.alias("_fold"), F.col(label).cast("double").alias(label))
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)   # read 2 * folds times; lost blocks are recomputed
     parts = []
     for k in range(folds):
         gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step,
@@ -154,4 +156,5 @@ def gbt_calibrated(train: DataFrame, xs, label: str, id_col: str, folds: int = 3
         pts = held.groupBy("_score").agg(F.avg(label).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
         iso = IsotonicRegression(featuresCol="_score", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(pts)
         parts.append((gbt, iso))
+    d.unpersist()
     return CalibratedGBT(parts, xs)

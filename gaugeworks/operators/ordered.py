@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 HOT_ROWS = 2_000_000   # a key above this many rows is split
 MAX_HOT_KEYS = 1_000   # any further key holds under a thousandth of the rows
@@ -43,7 +43,7 @@ def with_range_bucket(df: DataFrame, keys, col: str, hot_rows: int = HOT_ROWS):
             .agg(F.percentile_approx(F.col(col).cast("double"), probs, 10_000).alias("_cuts"))).collect()
     cut_df = spark.createDataFrame(
         [tuple(r[k] for k in keys) + (sorted(set(r["_cuts"])),) for r in cuts],
-        key_schema.add("_cuts", "array<double>"))
+        T.StructType(key_schema.fields + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))]))
     x = F.col(col).cast("double")
     out = df.join(F.broadcast(cut_df), list(keys), "left").withColumn(
         "_bucket", F.coalesce(F.size(F.filter("_cuts", lambda s: s < x)), F.lit(0))).drop("_cuts")

@@ -208,8 +208,8 @@ cv AS (SELECT doc_id, t, CASE WHEN t = '' THEN ['empty'] ELSE list_filter([
 
 @query("l8_citation_gate", with_("cit", "SELECT doc_id, array_to_string(v, ',') AS violations, len(v) = 0 AS passed FROM cv"))
 def _(spark, d):
-    v = gates.citation(F.col("text"))
-    return docs(spark, d).select("doc_id", F.array_join(v, ",").alias("violations"), (F.size(v) == 0).alias("passed"))
+    v = gates.check_citations(docs(spark, d), "text")
+    return v.select("doc_id", F.array_join("violations", ",").alias("violations"), (F.size("violations") == 0).alias("passed"))
 
 
 _RANGE_SQL = "[+\\-]?\\d+(?:\\.\\d+)?\\s*(?:to|[-–])\\s*[+\\-]?\\d+(?:\\.\\d+)?"
@@ -346,5 +346,5 @@ def _(spark, d):
     count(*) FILTER (WHERE NOT n_chars > 0) FROM documents"""))
 def _(spark, d):
     x = read(spark, d, "documents")
-    return gates.checklist({"citation": x.select((F.size(gates.citation(F.col("text"))) == 0).alias("passed")),
+    return gates.checklist({"citation": gates.check_citations(x, "text").select((F.size("violations") == 0).alias("passed")),
                             "has_text": x.select((F.col("n_chars") > 0).alias("passed"))})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -22,29 +23,20 @@ def running_stats(stream: DataFrame, station: str, value: str) -> DataFrame:
                                        F.sum(F.col(value) * F.col(value)).alias("total_sq"))
 
 
-def wetness_state(stream: DataFrame, gauge: str, ts: str, precip: str, decay: float = 0.92, late: str = "1 hour") -> DataFrame:
-    """Antecedent wetness per gauge kept in a state store: one number and the last event time.
+def wetness(stream: DataFrame, gauge: str, ts: str, precip: str, decay: float = 0.92, late: str = "1 hour",
+            tail: float = 1e-12) -> DataFrame:
+    """Antecedent wetness per gauge at the end of every hour: sum of decay^age * rain.
 
-    Rows of a batch are sorted by event time before the recursion; the store
-    holds two numbers per gauge.
+    Two chained windowed aggregations: rain is summed per gauge and hour
+    (partially, before the shuffle), then the closed hours are weighted into
+    every later hour until their weight falls below ``tail``.  State is kept by
+    Spark per (window, gauge), so a busy gauge costs no more than a quiet one.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, batches, state: GroupState):
-        s, last = state.get if state.exists else (0.0, 0)
-        pdf = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        out = []
-        for t, p in zip(pdf[ts], pdf[precip]):
-            us = int(t.value // 1000)
-            if us < last:
-                continue   # older than what the state already holds
-            s = decay * s + float(p)
-            last = us
-            out.append((key[0], t, s))
-        state.update((s, last))
-        yield pd.DataFrame(out, columns=[gauge, ts, "wetness"])
-
-    gt = stream.schema[gauge].dataType.simpleString()
-    return (stream.withWatermark(ts, late).groupBy(gauge)
-            .applyInPandasWithState(step, f"{gauge} {gt}, {ts} timestamp, wetness double", "s double, last long", "append",
-                                    GroupStateTimeout.NoTimeout))
+    reach = math.ceil(math.log(tail) / math.log(decay))
+    hours = (stream.withWatermark(ts, late).groupBy(F.window(ts, "1 hour").alias("w"), gauge)
+             .agg(F.sum(precip).alias("amount")).select(F.window_time("w").alias("at"), gauge, "amount"))
+    spread = hours.select(gauge, "amount", "at", F.window("at", f"{reach} hours", "1 hour").alias("r"))
+    # ``at`` is one microsecond before the end of its hour
+    age = F.floor((F.unix_micros("r.end") - F.unix_micros("at")) / 3_600_000_000)
+    return (spread.groupBy("r", gauge).agg(F.sum(F.col("amount") * F.pow(F.lit(decay), age)).alias("wetness"))
+            .select(gauge, F.col("r.end").alias("hour_end"), "wetness"))
