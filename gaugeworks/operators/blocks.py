@@ -31,15 +31,20 @@ def pack(df: DataFrame, keys, cols, id_col: str, block_rows: int = BLOCK_ROWS, p
 
 
 def self_pairs(packed: DataFrame, keys) -> DataFrame:
-    """Every unordered pair of blocks of a key once (a block also with itself)."""
+    """Every unordered pair of blocks of a key once (a block also with itself).
+
+    A block meets itself without a join; only keys of several blocks are joined.
+    """
     keys = list(keys)
     cols = [c for c in packed.columns if c not in keys + ["blk", "nblk"]]
-    other = packed.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nblk") - 1)))
-    left = other.filter(F.col("blk") <= F.col("_o")).select(
+    both = [F.col(c).alias(f"{p}_{c}") for p in ("a", "b") for c in cols]
+    own = packed.select(*keys, "nblk", F.col("blk").alias("i"), F.col("blk").alias("j"), *both)
+    other = packed.filter("nblk > 1").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nblk") - 1)))
+    left = other.filter(F.col("blk") < F.col("_o")).select(
         *keys, "nblk", F.col("blk").alias("i"), F.col("_o").alias("j"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = other.filter(F.col("blk") >= F.col("_o")).select(
+    right = other.filter(F.col("blk") > F.col("_o")).select(
         *keys, F.col("_o").alias("i"), F.col("blk").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    return left.join(right, keys + ["i", "j"])
+    return own.unionByName(left.join(right, keys + ["i", "j"]))
 
 
 def cross_pairs(left: DataFrame, right: DataFrame, keys, lp: str = "a_", rp: str = "b_") -> DataFrame:

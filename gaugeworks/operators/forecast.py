@@ -101,11 +101,25 @@ def backbone(name: str):
 
 
 def temperature_baselines(df: DataFrame, keys, ts: str, pos: str, value: str, horizons=(1, 7, 14), period: int = 365,
-                          n_lags: int | None = None) -> DataFrame:
-    """Persistence, seasonal naive and (with ``n_lags``) rolling AR at each horizon, stacked."""
-    parts = []
+                          n_lags: int | None = None, role: str = "role", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Persistence and seasonal naive at every horizon from one window pass, plus rolling AR with ``n_lags``.
+
+    All predictions of a row are stacked by an explode, so the series is read
+    and sorted once however many horizons are asked for.
+    """
+    reach = max([period, *horizons])
+    f = chunked(df, keys, pos, before=reach, chunk_rows=max(chunk_rows, reach))
+    lag = lambda k: F.lag(value, k).over(f.window)
+    first = F.first(value).over(f.window)
+    cols = {"_season": lag(period)} | {f"_h{h}": lag(h) for h in horizons} | {"_first": first}
+    d = f.select(**cols).filter(F.col(role) == "test")
+    rows = []
     for h in horizons:
-        parts += [persistence(df, keys, ts, pos, value, h), seasonal_naive(df, keys, ts, pos, value, h, period)]
-        if n_lags:
-            parts.append(ar_rolling(df, keys, ts, pos, value, h, n_lags))
-    return reduce(DataFrame.unionByName, parts)
+        rows.append(F.struct(F.lit("persistence").alias("method"), F.lit(h).alias("horizon"), F.col(f"_h{h}").alias("y_pred")))
+        rows.append(F.struct(F.lit("seasonal_naive").alias("method"), F.lit(h).alias("horizon"),
+                             F.coalesce("_season", f"_h{h}", "_first").alias("y_pred")))
+    out = d.select(*keys, ts, pos, F.col(value).alias("y_true"), F.explode(F.array(*rows)).alias("_r")).select(
+        *keys, ts, pos, "_r.method", "_r.horizon", "y_true", "_r.y_pred")
+    if n_lags:
+        out = reduce(DataFrame.unionByName, [ar_rolling(df, keys, ts, pos, value, h, n_lags, role) for h in horizons], out)
+    return out

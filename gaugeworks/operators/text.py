@@ -103,6 +103,34 @@ def _canonical(ch: Column, names) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), F.ascii(ch) - _PUA + 1)
 
 
+def _crossing(words) -> bool:
+    """Can one word end inside another with no letter on either side of the seam?"""
+    letter = lambda c: c.isalpha()
+    for a in words:
+        for b in words:
+            for k in range(1, min(len(a), len(b))):
+                if a[-k:] == b[:k] and not letter(a[-k - 1]) and not letter(b[k]):
+                    return True
+    return False
+
+
+def _bounded_pattern(voc: Vocabulary) -> str | None:
+    """One pattern for all names and aliases between non-letters, longest first.
+
+    Leftmost matching equals the longest-first scan unless names can cross;
+    then there is no such pattern.
+    """
+    words = _longest_first(list(voc.terms)) + _longest_first(voc.aliases)
+    inside = any(re.search(r"(?<![^\W\d_])" + re.escape(t) + r"(?![^\W\d_])", a) for a in voc.aliases for t in voc.terms)
+    if _crossing(words) or inside:   # a name inside an alias is marked before the alias
+        return None
+    return r"(?<!\p{L})(" + "|".join(re.escape(w) for w in _longest_first(words)) + r")(?!\p{L})"
+
+
+def _canonical_map(voc: Vocabulary) -> dict[str, str]:
+    return {**voc.aliases, **{t: t for t in voc.terms}}
+
+
 def tag_terms(df: DataFrame, text: str, voc: Vocabulary = Vocabulary(), *, aliases: bool = False,
               out: str = "spans") -> DataFrame:
     """``out`` = array of (pos, term) in reading order, 0-based character offsets.
@@ -122,10 +150,15 @@ def tag_terms(df: DataFrame, text: str, voc: Vocabulary = Vocabulary(), *, alias
     return df.withColumn(out, offsets(_mark(_clean(text), plan, aliases)))
 
 
-def _term_sequence(df: DataFrame, text: str, voc: Vocabulary, aliases: bool, out: str) -> DataFrame:
-    """Canonical terms in reading order, without offsets (cheaper than :func:`tag_terms`)."""
-    plan, names = _plan(voc, aliases)
-    hits = F.regexp_extract_all(_mark(_clean(text), plan, aliases), F.lit(f"({_runs(plan)})"), F.lit(1))
+def _term_sequence(df: DataFrame, text: str, voc: Vocabulary, out: str) -> DataFrame:
+    """Canonical names of all mentions (aliases resolved) in reading order, in one pass where names cannot cross."""
+    pattern = _bounded_pattern(voc)
+    if pattern:
+        known = F.create_map(*[F.lit(x) for kv in _canonical_map(voc).items() for x in kv])
+        hits = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
+        return df.withColumn(out, F.transform(F.array_distinct(hits), lambda h: F.element_at(known, h)))
+    plan, names = _plan(voc, True)
+    hits = F.regexp_extract_all(_mark(_clean(text), plan, True), F.lit(f"({_runs(plan)})"), F.lit(1))
     return df.withColumn(out, F.transform(hits, lambda h: _canonical(h, names)))
 
 
@@ -167,7 +200,7 @@ def keyword_triples(df: DataFrame, text: str, voc: Vocabulary = Vocabulary(), ou
 
 def cue_triples(df: DataFrame, text: str, voc: Vocabulary = Vocabulary(), out: str = "triple") -> DataFrame:
     """One triple from the first two distinct terms and the first matching cue; NULL if none."""
-    d = _term_sequence(df, text, voc, True, "_t").withColumn("_t", F.slice(F.array_distinct("_t"), 1, 2))
+    d = _term_sequence(df, text, voc, "_t").withColumn("_t", F.slice(F.array_distinct("_t"), 1, 2))
     d = d.withColumn("_a", F.try_element_at("_t", F.lit(1))).withColumn("_b", F.try_element_at("_t", F.lit(2)))
     lower = F.lower(text)
     pick = None

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
+from ..session import store
 from . import blocks
 from .ordered import HOT_ROWS, quantiles
 from .series import chunked
@@ -94,6 +95,7 @@ def table(indices: dict[str, DataFrame], keys, order: str, value: str, alpha: fl
     from functools import reduce
     stacked = reduce(DataFrame.unionByName, [
         d.select(F.lit(name).alias("index_name"), *keys, order, value) for name, d in indices.items()])
+    stacked = store(stacked, "trend")   # a row per key and year, read several times below
     k = ["index_name", *keys]
     thr = alpha / len(indices)
     return (mann_kendall(stacked, k, order, value).join(sen_slope(stacked, k, order, value), k)
