@@ -424,3 +424,17 @@ def _(spark, d):
 @query("f6_forecaster_contract", with_("daily roled", _persist_sql(1)), "2: y_true y_pred")
 def _(spark, d):
     return forecast.backbone("persistence")(roled(spark, d), KEY, "date", "pos", "value", 1)
+
+
+@query("s6_whitespace_text", "SELECT c_custkey AS station, c_nationkey AS nation, c_acctbal AS balance FROM customer")
+def _(spark, d):
+    from ..session import shared_dir
+    path = shared_dir(spark, "text")
+    c = read(spark, d, "customer")
+    c.select(F.concat(F.lit("  "), F.col("c_custkey"), F.lit("   "), F.col("c_nationkey"), F.lit("\t "), F.col("c_acctbal")).alias("value")).write.text(path)
+    return io.scan_whitespace(spark, path, {"station": "bigint", "nation": "int", "balance": "double"})
+
+
+@query("p17_wet_days", with_("daily", "SELECT series_id, date, value FROM daily WHERE value > 0"), "2: value")
+def _(spark, d):
+    return daily(spark, d).filter(F.col("value") > 0).select("series_id", "date", "value")
