@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+
+from .attach import attach
 
 BLOCK_ROWS = 2_048
 
@@ -25,7 +27,7 @@ def pack(df: DataFrame, keys, cols, id_col: str, block_rows: int = BLOCK_ROWS, p
     keys = list(keys)
     blk, nblk = f"{prefix}blk", f"{prefix}nblk"
     n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("long").alias(nblk))
-    salted = df.join(n, keys).withColumn(blk, F.pmod(F.xxhash64(id_col), F.col(nblk)))
+    salted = attach(df, n, keys).withColumn(blk, F.pmod(F.xxhash64(id_col), F.col(nblk)))
     packed = salted.groupBy(*keys, nblk, blk).agg(F.collect_list(F.struct(*cols)).alias("_rows"))
     return packed.select(*keys, nblk, blk, *[F.transform("_rows", _field(c)).alias(f"{prefix}{c}") for c in cols])
 
@@ -53,8 +55,8 @@ def cross_pairs(left: DataFrame, right: DataFrame, keys, lp: str = "a_", rp: str
     zero = F.lit(0).cast("long")
     ln = left.groupBy(*keys).agg(F.max(f"{lp}nblk").alias("_ln"))
     rn = right.groupBy(*keys).agg(F.max(f"{rp}nblk").alias("_rn"))
-    l = left.join(rn, keys).withColumn(f"{rp}blk", F.explode(F.sequence(zero, F.col("_rn") - 1))).drop("_rn", f"{lp}nblk")
-    r = right.join(ln, keys).withColumn(f"{lp}blk", F.explode(F.sequence(zero, F.col("_ln") - 1))).drop("_ln", f"{rp}nblk")
+    l = attach(left, rn, keys).withColumn(f"{rp}blk", F.explode(F.sequence(zero, F.col("_rn") - 1))).drop("_rn", f"{lp}nblk")
+    r = attach(right, ln, keys).withColumn(f"{lp}blk", F.explode(F.sequence(zero, F.col("_ln") - 1))).drop("_ln", f"{rp}nblk")
     return l.join(r, keys + [f"{lp}blk", f"{rp}blk"])
 
 
@@ -133,7 +135,8 @@ def pair_quantile(packed: DataFrame, keys, fn, prob: float, out: str) -> DataFra
     h = (F.col("cnt") - 1) * F.lit(float(prob))
     # the two neighbouring order statistics are narrowed side by side
     state = span.select(*keys, "lo", "hi", h.alias("h"), F.lit(0).cast("long").alias("below"),
-                        F.explode(F.array(F.floor(h), F.ceil(h))).alias("idx")).distinct()
+                        F.posexplode(F.array(F.floor(h), F.ceil(h))).alias("side", "idx"))
+    big = big.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
 
     def hist(row):
         v = pair_values(row, fn)
@@ -149,18 +152,17 @@ def pair_quantile(packed: DataFrame, keys, fn, prob: float, out: str) -> DataFra
         np.maximum.at(vmax, inv, v)
         return {"bin": bins, "c": cnt, "vmin": vmin, "vmax": vmax}
 
-    from pyspark.sql import Window as W
     for _ in range(PASSES):
-        ks = keys + ["idx", "h", "below", "lo", "hi"]
-        parts = reduce_pairs(big.join(state, keys), ks, hist, "bin int, c long, vmin double, vmax double")
+        ks = keys + ["side", "idx", "h", "below", "lo", "hi"]
+        parts = reduce_pairs(big.join(state, keys + ["side"]), ks, hist, "bin int, c long, vmin double, vmax double")
         bins = parts.groupBy(*ks, "bin").agg(F.sum("c").alias("c"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
         w = W.partitionBy(*ks).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)   # at most 4 096 rows
         cum = bins.withColumn("cum", F.sum("c").over(w) + F.col("below"))
         hit = (F.col("cum") - F.col("c") <= F.col("idx")) & (F.col("idx") < F.col("cum"))
-        narrowed = cum.filter(hit).select(*keys, "idx", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"), "h",
+        narrowed = cum.filter(hit).select(*keys, "side", "idx", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"), "h",
                                           (F.col("cum") - F.col("c")).alias("below"))
-        done = state.filter(F.col("hi") <= F.col("lo")).select(*keys, "idx", "lo", "hi", "h", "below")
+        done = state.filter(F.col("hi") <= F.col("lo")).select(*keys, "side", "idx", "lo", "hi", "h", "below")
         state = narrowed.unionByName(done)
-    large = state.groupBy(*keys, "h").agg(F.min_by("lo", "idx").alias("v0"), F.max_by("hi", "idx").alias("v1"))
+    large = state.groupBy(*keys, "h").agg(F.min_by("lo", "side").alias("v0"), F.max_by("hi", "side").alias("v1"))
     large = large.select(*keys, (F.col("v0") + (F.col("h") - F.floor("h")) * (F.col("v1") - F.col("v0"))).alias(out))
     return answer.unionByName(large)

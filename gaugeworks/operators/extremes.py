@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions import stats
 from ..functions.scalars import is_finite, md5_int
+from .attach import attach
 from .features import rolling
 from .ordered import HOT_ROWS, quantiles, row_numbers
 
@@ -32,8 +33,7 @@ def rx5day(df: DataFrame, keys, pos: str, ts: str, value: str, width: int = 5) -
 def r95p(df: DataFrame, keys, ts: str, value: str, prob: float = 0.95, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Annual sum of days strictly above the record-wide wet-day percentile; 0 in years without one."""
     thr = quantiles(df.filter(F.col(value) > 0), keys, value, {"_thr": prob}, hot_rows)
-    d = df.join(thr, list(keys), "left") if keys else df.withColumn("_k", F.lit(1)).join(
-        F.broadcast(thr.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    d = df.join(thr, list(keys), "left") if keys else attach(df, thr, [])
     return d.groupBy(*keys, F.year(ts).alias("year")).agg(
         F.sum(F.when(F.col(value) > F.col("_thr"), F.col(value)).otherwise(0.0)).alias("value"))
 

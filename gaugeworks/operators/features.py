@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars
+from .attach import attach
 from .series import CHUNK_ROWS, chunked, lag_columns
 
 
@@ -68,9 +69,7 @@ def standardize(df: DataFrame, keys, cols, train: Column, eps: float = 1e-8) ->
     """``<c>_z`` = (x - mean) / (population sd + eps), both taken from the train rows."""
     stats = df.filter(train).groupBy(*keys).agg(
         *[a for c in cols for a in (F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"))])
-    out = df.join(stats, list(keys)) if keys else df.withColumn("_k", F.lit(1)).join(
-        F.broadcast(stats.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return out.withColumns({f"{c}_z": (F.col(c) - F.col(f"_mu_{c}")) / (F.col(f"_sd_{c}") + eps) for c in cols}) \
+    return attach(df, stats, keys).withColumns({f"{c}_z": (F.col(c) - F.col(f"_mu_{c}")) / (F.col(f"_sd_{c}") + eps) for c in cols}) \
         .drop(*[f"_{s}_{c}" for c in cols for s in ("mu", "sd")])
 
 

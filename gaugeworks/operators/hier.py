@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .attach import attach
+
 Z95 = 1.959963984540054
 
 
@@ -31,15 +33,10 @@ def shrink(suff: DataFrame) -> DataFrame:
         "hi95", F.col("post_mean") + Z95 * F.col("post_sd"))
 
 
-def _with_network(suff: DataFrame, hyper: DataFrame, network) -> DataFrame:
-    return suff.join(hyper, list(network)) if network else suff.withColumn("_k", F.lit(1)).join(
-        F.broadcast(hyper.withColumn("_k", F.lit(1))), "_k").drop("_k")
-
-
 def empirical_bayes(df: DataFrame, network, station: str, value: str) -> DataFrame:
     """Sufficient statistics -> moment hyper-parameters per network -> posterior per station."""
     suff = sufficient_stats(df, [*network, station], value)
-    return shrink(_with_network(suff, moment_hyper(suff, network), network))
+    return shrink(attach(suff, moment_hyper(suff, network), network))
 
 
 def context_features(suff: DataFrame, network) -> DataFrame:
@@ -50,7 +47,7 @@ def context_features(suff: DataFrame, network) -> DataFrame:
         F.avg("ybar").alias("_g"), F.coalesce(F.stddev_samp("ybar"), F.lit(0.0)).alias("_sb"),
         F.coalesce(F.sqrt(F.sum(F.when(many, F.col("svar") * (n - 1))) / F.greatest(F.lit(1.0), F.sum(F.when(many, n - 1)))),
                    F.lit(0.0)).alias("_sw"), F.count(F.lit(1)).alias("_s"))
-    d = _with_network(suff, ctx, network)
+    d = attach(suff, ctx, network)
     return d.withColumns({
         "dev": F.col("ybar") - F.col("_g"), "log1p_n": F.log1p("n"), "global_mean": F.col("_g"),
         "log_between": F.log(F.col("_sb") + 1e-6), "log_within": F.log(F.col("_sw") + 1e-6),

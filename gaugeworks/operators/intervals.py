@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stats import normal_z
+from .attach import attach
 from .ordered import HOT_ROWS, order_statistic
 
 FLOOR_SHARE = 0.1   # the residual scale never falls below this share of the mean absolute residual
 
 
-def _attach(df: DataFrame, small: DataFrame, keys) -> DataFrame:
-    if keys:
-        return df.join(small, list(keys))
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(small.withColumn("_k", F.lit(1))), "_k").drop("_k")
-
-
 def conformal_quantile(scores: DataFrame, keys, score: str, level: float, out: str = "q",
                        hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Rank ceil((n+1) * level) of the scores; +infinity when the rank exceeds n."""
@@ -42,9 +37,9 @@ def normalized_conformal(cal: DataFrame, test: DataFrame, keys, levels, sigma: s
         aggs.append(F.coalesce(F.max(F.when(hit, F.col("_score"))), F.lit(float("inf"))).alias(f"_q{i}"))
     q = c.groupBy(*keys).agg(*aggs)
     arr = F.array(*[F.struct(F.lit(float(lv)).alias("level"), F.col(f"_q{i}").alias("q")) for i, lv in enumerate(levels)])
-    q = q.select(*keys, F.explode(arr).alias("_l")).select(*keys, "_l.level", "_l.q")
     half = F.col("q") * F.col(sigma)
-    return _attach(test, q, keys).withColumn("lower", F.col("y_pred") - half).withColumn("upper", F.col("y_pred") + half)
+    d = attach(test, q.select(*keys, arr.alias("_q")), keys).select(*test.columns, F.inline("_q"))
+    return d.withColumn("lower", F.col("y_pred") - half).withColumn("upper", F.col("y_pred") + half)
 
 
 def residual_scale(resid: DataFrame, keys) -> DataFrame:
@@ -56,7 +51,7 @@ def residual_scale(resid: DataFrame, keys) -> DataFrame:
 def normal_theory(test: DataFrame, scale: DataFrame, keys, levels) -> DataFrame:
     """y_pred +- z * sigma_hat, one row per level."""
     lv = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("level"), F.lit(normal_z(v)).alias("z")) for v in levels]))
-    d = _attach(test, scale.select(*keys, "sigma_hat"), keys).withColumn("_l", lv)
+    d = attach(test, scale.select(*keys, "sigma_hat"), keys).withColumn("_l", lv)
     half = F.col("_l.z") * F.col("sigma_hat")
     return (d.withColumn("level", F.col("_l.level")).withColumn("lower", F.col("y_pred") - half)
             .withColumn("upper", F.col("y_pred") + half).drop("_l", "sigma_hat"))

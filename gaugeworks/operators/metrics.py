@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import skill as S
+from .attach import attach
 from .ordered import HOT_ROWS, average_ranks
 
 def _tp() -> tuple[Column, Column]:
@@ -98,9 +99,7 @@ def binary_probability(df: DataFrame, by, label: str, prob: str, surface: str |
     if surface:
         aggs.append(F.corr(p, F.col(surface)).alias("surface_corr"))
     rest = d.groupBy(*by).agg(*aggs)
-    if by:
-        return auc.join(rest, list(by))
-    return auc.withColumn("_k", F.lit(1)).join(rest.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return attach(auc, rest, by)
 
 
 def informativeness(df: DataFrame, by, covariate: str, value: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .attach import attach
+
 
 def gram(df: DataFrame, keys, xs, y: str) -> DataFrame:
     """Moments of a least-squares problem: n, x sums, upper Gram triangle, X'y and y sum.
@@ -63,8 +65,7 @@ def ols_gram(df, keys, xs, y, lam: float = 1e-6) -> DataFrame:
 def linear_predict(df: DataFrame, coefs: DataFrame, keys, xs, out: str = "y_pred") -> DataFrame:
     """Dot product with the key's coefficients (NULL where a feature is NULL)."""
     c = coefs.select(*keys, "beta")
-    j = df.join(c, list(keys)) if keys else df.withColumn("_k", F.lit(1)).join(
-        F.broadcast(c.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    j = attach(df, c, keys)
     val: Column = F.element_at("beta", 1)
     for i, x in enumerate(xs, start=2):
         val = val + F.element_at("beta", i) * F.col(x)

@@ -34,8 +34,13 @@ def with_range_bucket(df: DataFrame, keys, col: str, hot_rows: int = HOT_ROWS):
            .orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect())
     if not hot:
         return df.withColumn("_bucket", F.lit(0)), False
-    spark = df.sparkSession
+    spark, x = df.sparkSession, F.col(col).cast("double")
     ranges = min(MAX_RANGES, max(2, math.ceil(max(r["_n"] for r in hot) / hot_rows)))
+    number = lambda cuts: F.coalesce(F.size(F.filter(cuts, lambda s: s < x)), F.lit(0))
+    if list(keys) == ["_g"]:   # no keys: the splitters are one array literal
+        probs = [i / ranges for i in range(1, ranges)]
+        cuts = df.agg(F.percentile_approx(x, probs, 10_000).alias("c")).collect()[0]["c"]
+        return df.withColumn("_bucket", number(F.array(*[F.lit(float(v)) for v in sorted(set(cuts))]))), True
     key_schema = df.select(*keys).schema
     hot_df = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema)
     probs = [i / ranges for i in range(1, ranges)]
@@ -44,9 +49,7 @@ def with_range_bucket(df: DataFrame, keys, col: str, hot_rows: int = HOT_ROWS):
     cut_df = spark.createDataFrame(
         [tuple(r[k] for k in keys) + (sorted(set(r["_cuts"])),) for r in cuts],
         T.StructType(key_schema.fields + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))]))
-    x = F.col(col).cast("double")
-    out = df.join(F.broadcast(cut_df), list(keys), "left").withColumn(
-        "_bucket", F.coalesce(F.size(F.filter("_cuts", lambda s: s < x)), F.lit(0))).drop("_cuts")
+    out = df.join(F.broadcast(cut_df), list(keys), "left").withColumn("_bucket", number(F.col("_cuts"))).drop("_cuts")
     return out, True
 
 

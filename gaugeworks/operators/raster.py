@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .attach import attach
 from .ordered import HOT_ROWS, value_counts
 
 EPS = 1e-6
@@ -91,8 +92,7 @@ def best_threshold(df: DataFrame, keys, diff: str, changed: str, hot_rows: int |
     pick = (above.unionByName(below).groupBy(*keys)
             .agg(F.min(F.struct((-F.round("f1", 12)).alias("nf"), F.col("v"), F.col("side"), F.col("f1"))).alias("b")))
     pick = pick.select(*keys, F.col("b.v").alias("_v"), F.col("b.side").alias("_side"), F.col("b.f1").alias("macro_f1"))
-    joined = c.select(*keys, diff).join(pick, keys) if keys else c.select(diff).withColumn(
-        "_k", F.lit(1)).join(F.broadcast(pick.withColumn("_k", F.lit(1))), "_k")
+    joined = attach(c.select(*keys, diff), pick, keys)
     nxt = joined.groupBy(*keys, "_v", "_side", "macro_f1").agg(
         F.min(F.when(F.col(diff) > F.col("_v"), F.col(diff))).alias("_next"), F.count(F.lit(1)).alias("_d"))
     thr = (F.when(F.col("_d") == 1, F.col("_v")).when(F.col("_side") == 0, F.col("_v") - 1e-3)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .attach import attach
 from ..functions.skill import HIGHER_IS_BETTER, skill
 
 
@@ -25,9 +26,7 @@ def long_metrics(metrics: DataFrame, by, names) -> DataFrame:
 def skill_against(metrics: DataFrame, by, reference: str, metric: str = "rmse", out: str = "skill") -> DataFrame:
     """Skill of each ``method`` against the reference method of the same group."""
     ref = metrics.filter(F.col("method") == reference).select(*by, F.col(metric).alias("_ref"))
-    j = metrics.join(ref, list(by)) if by else metrics.withColumn("_k", F.lit(1)).join(
-        ref.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return j.withColumn(out, skill(F.col(metric), F.col("_ref"), metric in HIGHER_IS_BETTER)).drop("_ref")
+    return attach(metrics, ref, by).withColumn(out, skill(F.col(metric), F.col("_ref"), metric in HIGHER_IS_BETTER)).drop("_ref")
 
 
 def deltas(long_rows: DataFrame, keys, before: str, after: str) -> DataFrame:

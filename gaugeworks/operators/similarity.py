@@ -6,19 +6,24 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import blocks
+from .attach import attach
 
 BLOCK_ROWS = 1_024
 
 
-def standardize_arrays(train: DataFrame, df: DataFrame, col: str, dim: int, eps: float = 1e-8) -> DataFrame:
+def standardize_arrays(train: DataFrame, df: DataFrame, col: str, eps: float = 1e-8) -> DataFrame:
     """Column-wise standardisation of arrays by train mean and population deviation.
 
-    The moments form one row of 2 * dim numbers.
+    The moments come from one pass and form a single row.
     """
-    at = lambda i: F.element_at(col, i + 1).cast("double")
-    m = train.agg(F.array(*[F.avg(at(i)) for i in range(dim)]).alias("_mu"),
-                  F.array(*[F.stddev_pop(at(i)) for i in range(dim)]).alias("_sd")).withColumn("_k", F.lit(1))
-    j = df.withColumn("_k", F.lit(1)).join(F.broadcast(m), "_k").drop("_k")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = array_to_vector(F.transform(col, lambda x: x.cast("double")))
+    m = train.select(v.alias("_v")).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("_s"))
+    n = F.col("_s.count").cast("double")
+    pop = F.transform(vector_to_array("_s.variance"), lambda x: F.sqrt(x * (n - 1) / n))   # the summary is ddof = 1
+    m = m.select(vector_to_array("_s.mean").alias("_mu"), pop.alias("_sd"))
+    j = attach(df, m, [])
     centred = F.zip_with(F.transform(col, lambda v: v.cast("double")), "_mu", lambda v, mu: v - mu)
     return j.withColumn(col, F.zip_with(centred, "_sd", lambda v, s: v / (s + eps))).drop("_mu", "_sd")
 
@@ -29,8 +34,8 @@ def knn(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int, block_
     Vector blocks meet by an equi join on block numbers; every block pair is one
     matrix product that keeps k rows per query.
     """
-    a = blocks.pack(test.withColumn("g0", F.lit(0)).withColumn("rid", F.col(id_col)), ["g0"], ["rid", vec], "rid", block_rows, "a_")
-    b = blocks.pack(train.withColumn("g0", F.lit(0)).withColumn("rid", F.col(id_col)), ["g0"], ["rid", vec], "rid", block_rows, "b_")
+    a = blocks.pack(test.withColumn("rid", F.col(id_col)), [], ["rid", vec], "rid", block_rows, "a_")
+    b = blocks.pack(train.withColumn("rid", F.col(id_col)), [], ["rid", vec], "rid", block_rows, "b_")
     # keep the vectors of a block flat for Arrow
     a = a.withColumn(f"a_{vec}", F.flatten(f"a_{vec}"))
     b = b.withColumn(f"b_{vec}", F.flatten(f"b_{vec}"))
@@ -46,9 +51,9 @@ def knn(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int, block_
         return {"query": np.repeat(aid, top.shape[1]), "neighbour": bid[top].ravel(),
                 "d": np.sqrt(np.take_along_axis(d2, top, axis=1)).ravel()}
 
-    cand = blocks.reduce_pairs(blocks.cross_pairs(a, b, ["g0"]), ["g0"], kernel, "query long, neighbour long, d double")
+    cand = blocks.reduce_pairs(blocks.cross_pairs(a, b, []), [], kernel, "query long, neighbour long, d double")
     w = W.partitionBy("query").orderBy(F.round("d", 8), "neighbour")   # at most k rows per train block
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("g0")
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, vec: str, label: str, k: int = 5) -> DataFrame:

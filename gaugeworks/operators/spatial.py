@@ -12,10 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from . import blocks
-
-
-def _keyed(df: DataFrame, keys):
-    return (df, list(keys)) if keys else (df.withColumn("g0", F.lit(0)), ["g0"])
+from .attach import attach
 
 
 def _xy(row, p):
@@ -25,8 +22,7 @@ def _xy(row, p):
 def idw(stations: DataFrame, cells: DataFrame, keys, cell_id: str, value: str = "value", power: float = 2.0,
         eps: float = 1e-9, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Inverse-distance weighting with every station, weight 1 / max(distance, eps)^power."""
-    s, k = _keyed(stations, keys)
-    c, _ = _keyed(cells, keys)
+    s, c, k = stations, cells, list(keys)
     sp = blocks.pack(s.withColumn("z", F.col(value).cast("double")), k, ["x", "y", "z"], "id", block_rows, "b_")
     cp = blocks.pack(c.withColumn("id", F.col(cell_id)), k, ["id", "x", "y"], "id", block_rows, "a_")
 
@@ -43,7 +39,7 @@ def idw(stations: DataFrame, cells: DataFrame, keys, cell_id: str, value: str =
 
     id_type = cells.schema[cell_id].dataType.simpleString()
     part = blocks.reduce_pairs(blocks.cross_pairs(cp, sp, k), k, kernel, f"{cell_id} {id_type}, num double, den double")
-    return part.groupBy(*k, cell_id).agg((F.sum("num") / F.sum("den")).alias("pred")).drop("g0")
+    return part.groupBy(*k, cell_id).agg((F.sum("num") / F.sum("den")).alias("pred"))
 
 
 def tiles_within(df: DataFrame, tile: float, ring: int = 0) -> DataFrame:
@@ -63,8 +59,7 @@ def idw_within(stations: DataFrame, cells: DataFrame, keys, cell_id: str, max_di
 
     Stations are copied to the neighbouring tiles and matched by tile, in blocks.
     """
-    s, k = _keyed(stations, keys)
-    c, _ = _keyed(cells, keys)
+    s, c, k = stations, cells, list(keys)
     tk = k + ["tx", "ty"]
     s = tiles_within(s.withColumn("z", F.col(value).cast("double")), max_distance, 1)
     c = tiles_within(c.withColumn("id", F.col(cell_id)), max_distance)
@@ -81,7 +76,7 @@ def idw_within(stations: DataFrame, cells: DataFrame, keys, cell_id: str, max_di
     id_type = cells.schema[cell_id].dataType.simpleString()
     part = blocks.reduce_pairs(blocks.cross_pairs(cp, sp, tk), k, kernel, f"{cell_id} {id_type}, num double, den double")
     return (part.groupBy(*k, cell_id).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-            .filter("den > 0").withColumn("pred", F.col("num") / F.col("den")).drop("num", "den", "g0"))
+            .filter("den > 0").withColumn("pred", F.col("num") / F.col("den")).drop("num", "den"))
 
 
 def _distance(a, b):
@@ -97,8 +92,8 @@ def _packed(df, keys, value, block_rows):
 
 def pair_distance_quantile(stations: DataFrame, keys, prob: float = 0.9, value: str = "value",
                            block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    s, k = _keyed(stations, keys)
-    return blocks.pair_quantile(_packed(s, k, value, block_rows), k, _distance, prob, "max_dist").drop("g0")
+    s, k = stations, list(keys)
+    return blocks.pair_quantile(_packed(s, k, value, block_rows), k, _distance, prob, "max_dist")
 
 
 def variogram(stations: DataFrame, keys, value: str = "value", n_bins: int = 15, max_dist: float | None = None,
@@ -108,13 +103,13 @@ def variogram(stations: DataFrame, keys, value: str = "value", n_bins: int = 15,
     Right-open bins up to ``max_dist`` (default: 90th percentile of all pair
     distances); pairs at or beyond it are dropped.
     """
-    s, k = _keyed(stations, keys)
+    s, k = stations, list(keys)
     packed = _packed(s, k, value, block_rows)
     if max_dist is None:
         lim = blocks.pair_quantile(packed, k, _distance, 0.9, "max_dist")
     else:
-        lim = packed.select(*k).distinct().withColumn("max_dist", F.lit(float(max_dist)))
-    pairs = blocks.self_pairs(packed, k).join(lim, k)
+        lim = packed.groupBy(*k).agg(F.lit(float(max_dist)).alias("max_dist"))
+    pairs = attach(blocks.self_pairs(packed, k), lim, k)
 
     def kernel(row):
         edges = np.linspace(0.0, row.max_dist, n_bins + 1)
@@ -136,7 +131,7 @@ def variogram(stations: DataFrame, keys, value: str = "value", n_bins: int = 15,
     spine = lim.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
     out = spine.join(agg, k + ["bin"], "left")
     width = F.col("max_dist") / n_bins
-    return out.select(*[c for c in k if c != "g0"], "bin", ((F.col("bin") + 0.5) * width).alias("lag"),
+    return out.select(*k, "bin", ((F.col("bin") + 0.5) * width).alias("lag"),
                       (F.col("g") / F.col("n")).alias("gamma"), F.coalesce("n", F.lit(0).cast("long")).alias("n_pairs"))
 
 
@@ -152,8 +147,7 @@ def nearest(stations: DataFrame, cells: DataFrame, keys, cell_id: str, k_near: i
     Each block pair keeps its local top k, so at most k rows per cell and
     station block are merged.
     """
-    s, k = _keyed(stations, keys)
-    c, _ = _keyed(cells, keys)
+    s, c, k = stations, cells, list(keys)
     cols = list(cols)
     sp = blocks.pack(s.withColumn("rid", F.col("id")), k, ["rid", *cols], "id", block_rows, "b_")
     cp = blocks.pack(c.withColumn("rid", F.col(cell_id)), k, ["rid", *cols], cell_id, block_rows, "a_")
@@ -177,7 +171,7 @@ def nearest(stations: DataFrame, cells: DataFrame, keys, cell_id: str, k_near: i
     st = stations.schema["id"].dataType.simpleString()
     cand = blocks.reduce_pairs(blocks.cross_pairs(cp, sp, k), k, kernel, f"{cell_id} {ct}, id {st}, d double")
     w = W.partitionBy(*k, cell_id).orderBy("d", "id")   # at most k rows per station block
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k_near).drop("g0")
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k_near)
 
 
 def exponential_cov(h, sill, rng):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import features, metrics, models, raster, score
+from ..operators.attach import attach
 from .base import cells, hourly_roled, patches, query, read, stations
 
 TREES = 10   # enough to exercise the models; the library defaults are those of a full fit
@@ -43,8 +44,8 @@ def _(spark, d):
     m, test = _surface(spark, d, models.rf_regress)
     imp = spark.createDataFrame(models.importances(m, _XS), "feature string, importance double")
     # the ranking is reported beside the number of cells the model was applied to
-    n = m.transform(test).agg(F.count(F.lit(1)).alias("n_cells")).withColumn("_k", F.lit(1))
-    return score.top_features(imp.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").drop("_k"), 3)
+    n = m.transform(test).agg(F.count(F.lit(1)).alias("n_cells"))
+    return score.top_features(attach(imp, n, []), 3)
 
 
 @query("c7_covariate_interpolation")
@@ -119,8 +120,8 @@ def _(spark, d):
 @query("i17_averaged_importances")
 def _(spark, d):
     m, scored = _boosted(spark, d)
-    n = scored.agg(F.count(F.lit(1)).alias("n_scored")).withColumn("_k", F.lit(1))
-    return m.importances(spark).withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").drop("_k")
+    n = scored.agg(F.count(F.lit(1)).alias("n_scored"))
+    return attach(m.importances(spark), n, [])
 
 
 @query("c10_species_distribution")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics, profile, raster, similarity, spatial
+from ..operators.attach import attach
 from .base import CTE, BAND_SLICES, cells, patch_pairs, patches, query, read, stations, with_
 
 # ================================================================== stations -> cells
@@ -215,8 +216,7 @@ def _(spark, d):
     SELECT count(*) FILTER (WHERE changed = CAST("drop" >= threshold AS INTEGER)) / count(*) AS accuracy, any_value(macro_f1) AS macro_f1 FROM rdrops, thr""", "6: accuracy macro_f1")
 def _(spark, d):
     x = _drops(spark, d)
-    thr = raster.best_threshold(x, [], "drop", "changed").withColumn("_k", F.lit(1))   # one row
-    p = raster.detect_change(x.withColumn("_k", F.lit(1)).join(F.broadcast(thr), "_k"), F.col("threshold"))
+    p = raster.detect_change(attach(x, raster.best_threshold(x, [], "drop", "changed"), []), F.col("threshold"))
     return metrics.classification(p, [], "changed", "pred").select("accuracy", "macro_f1")
 
 
@@ -252,8 +252,8 @@ z AS (SELECT vec_id, label, list((v - mu) / (sd + 1e-8) ORDER BY i) AS e FROM (S
     SELECT vec_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) AS k FROM vt) WHERE k = 1""")
 def _(spark, d):
     tr, te = _train_test(spark, d)
-    tz = similarity.standardize_arrays(tr, tr, "embedding", 64)
-    qz = similarity.standardize_arrays(tr, te, "embedding", 64)
+    tz = similarity.standardize_arrays(tr, tr, "embedding")
+    qz = similarity.standardize_arrays(tr, te, "embedding")
     return similarity.knn_classify(tz, qz, "vec_id", "embedding", "label", 5)
 
 
@@ -266,8 +266,8 @@ def _(spark, d):
 @query("c5_embedding_heads")
 def _(spark, d):
     tr, te = _train_test(spark, d)
-    tz = similarity.standardize_arrays(tr, tr, "embedding", 64)
-    qz = similarity.standardize_arrays(tr, te, "embedding", 64)
+    tz = similarity.standardize_arrays(tr, tr, "embedding")
+    qz = similarity.standardize_arrays(tr, te, "embedding")
     knn = similarity.knn_classify(tz, qz, "vec_id", "embedding", "label", 5).join(te.select("vec_id", "label"), "vec_id")
     lin = similarity.linear_probe(tr, te, "embedding", "label")
     both = knn.select(F.lit("knn").alias("head"), "label", F.col("pred").cast("int").alias("pred")).unionByName(
