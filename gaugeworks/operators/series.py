@@ -13,8 +13,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .attach import attach
-
 CHUNK_ROWS = 65_536
 
 
@@ -28,7 +26,9 @@ def densify(df: DataFrame, keys, ts: str, step: str, fill: dict | None = None) -
     keys = list(keys)
     unit = {"day": "interval 1 day", "hour": "interval 1 hour"}[step]
     per_key = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    calendar = attach(per_key, per_key.agg(F.min("_a").alias("_lo"), F.max("_b").alias("_hi")), []).withColumn(
+    # the span is one row; as a join side it shares the aggregation above, which a subquery would run again
+    span = per_key.agg(F.min("_a").alias("_lo"), F.max("_b").alias("_hi")).withColumn("_one", F.lit(1))
+    calendar = per_key.withColumn("_one", F.lit(1)).join(F.broadcast(span), "_one").withColumn(
         "_cal", F.expr(f"sequence(_lo, _hi, {unit})"))
     spine = calendar.select(*keys, F.size("_cal").alias("n_steps"), F.posexplode("_cal").alias("pos", ts))
     out = spine.join(df, keys + [ts], "left")
