@@ -64,19 +64,19 @@ def write_flat(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str =
     return store(rows.mapInArrow(lambda b: _write(b, folder, path, spaced, folded, end, width), ORDER_SCHEMA), "token-order")
 
 
-def _search(batches, folder: str, end: int, width: int):
+def _search(batches, folder: str, end: int, width: int, size: int):
     files, root = _open(folder)
     for batch in batches:
         for file, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             with files.open_input_file(f"{root}/{_name(file)}") as f:
-                f.seek(block * BLOCK * width)
-                ids = np.frombuffer(f.read(BLOCK * width), f"<u{width}")
-            ends = np.flatnonzero(ids == end) + 1 + block * BLOCK
+                f.seek(block * size * width)
+                ids = np.frombuffer(f.read(size * width), f"<u{width}")
+            ends = np.flatnonzero(ids == end) + 1 + block * size
             yield pa.record_batch([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)]),
                                    pa.array([ends], pa.list_(pa.int64()))], names=["file", "block", "n_ids", "ends"])
 
 
-def count_tokens(spark: SparkSession, folder: str, end: int = END, width: int = WIDTH) -> DataFrame:
+def count_tokens(spark: SparkSession, folder: str, end: int = END, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """``file, ordinal, start, n_tokens, closed`` of every document in the files of a folder.
 
     ``start`` counts the ids of all files before it; the count includes the end
@@ -90,8 +90,8 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END, width: int =
                 raise ValueError(f"{info.base_name} is not a whole number of ids")
             sizes.append((int(info.base_name[7:-4]), info.size // width))
     listed = spark.createDataFrame(sizes, "file int, n_ids long")
-    blocks = listed.where("n_ids > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_ids - 1) div {BLOCK}"))).cast("int").alias("block"))
-    found = blocks.repartition(max(1, min(len(sizes) * 4, 4096)), "file", "block").mapInArrow(lambda b: _search(b, folder, end, width), BLOCK_SCHEMA)
+    blocks = listed.where("n_ids > 0").select("file", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n_ids - 1) div {block} as int)"))).alias("block"))
+    found = blocks.repartition(max(1, min(len(sizes) * 4, 4096)), "file", "block").mapInArrow(lambda b: _search(b, folder, end, width, block), BLOCK_SCHEMA)
     found = store(found, "token-ends")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = (found.withColumn("open", F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(0).cast("long")))
