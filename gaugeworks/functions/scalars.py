@@ -48,21 +48,6 @@ def pet(temperature: Column, doy: Column, base: float = 0.6, temp_coef: float =
     return F.greatest(F.lit(base) * season + F.lit(temp_coef) * warm, F.lit(0.0))
 
 
-# Default niche of the suitability score.
-NICHE = dict(t_opt=18.0, t_sd=3.2, p_opt=1100.0, p_sd=280.0, p_sd_elev=-0.35, t_opt_elev=-2.2,
-             elev_opt=0.0, elev_sd=1.1, cap=0.90)
-
-
-def niche_score(t: Column, p: Column, e: Column, **override) -> Column:
-    """Gaussian niche whose temperature optimum and precipitation width move with elevation."""
-    v = {**NICHE, **override}
-    width = F.lit(v["p_sd"]) * F.greatest(F.lit(0.35), F.least(F.lit(2.0), 1.0 + F.lit(v["p_sd_elev"]) * e))
-    z_t = (t - (F.lit(v["t_opt"]) + F.lit(v["t_opt_elev"]) * e)) / F.lit(v["t_sd"])
-    z_p = (p - F.lit(v["p_opt"])) / width
-    z_e = (e - F.lit(v["elev_opt"])) / F.lit(v["elev_sd"])
-    return F.lit(v["cap"]) * F.exp(-0.5 * (z_t * z_t + z_p * z_p + z_e * z_e))
-
-
 def spatial_design(x: Column, y: Column, cov: Column, domain: float) -> dict[str, Column]:
     u, v = x / F.lit(float(domain)), y / F.lit(float(domain))
     return {"fx": u, "fy": v, "fcov": cov, "fxy": u * v, "fcov2": cov * cov, "fxcov": u * cov, "fycov": v * cov}

@@ -43,13 +43,11 @@ def linear_reservoir(df: DataFrame, keys, pos: str, precip: str, flow: str, role
 
 
 def triangular_kernel(length: int, peak: int) -> list[float]:
-    """Unit hydrograph that rises to ``peak`` and recedes, summing to one."""
-    length = max(int(length), 1)
-    peak = min(max(int(peak), 0), length - 1)
-    up = [(i + 1) / (peak + 1) for i in range(peak + 1)]
-    down = [(length - i) / (length - peak) for i in range(peak + 1, length)]
-    total = sum(up + down)
-    return [v / total for v in up + down]
+    """Triangle through zero just before step 0 and just after the last, highest at ``peak``; scaled to sum one."""
+    length = max(1, int(length))
+    top = min(length - 1, max(0, int(peak)))
+    height = np.interp(np.arange(length), [-1, top, length], [0.0, 1.0, 0.0])
+    return (height / height.sum()).tolist()
 
 
 def route(df: DataFrame, keys, pos: str, value: str, kernel, out: str = "routed", chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -136,15 +136,6 @@ def _(spark, d):
     return catchment(spark, d).select("gauge_id", "date", "pet")
 
 
-@query("p16_niche_score", with_("coords", """SELECT vec_id, 0.9 * exp(-0.5 * (pow((x - (18.0 - 2.2 * e)) / 3.2, 2)
-    + pow((1000 + 10 * y - 1100.0) / (280.0 * greatest(0.35, least(2.0, 1 - 0.35 * e))), 2) + pow(e / 1.1, 2))) AS score
-    FROM (SELECT vec_id, x, y, cov / 20.0 AS e FROM coords)"""), "9: score")
-def _(spark, d):
-    e = lambda i: F.round(F.element_at("embedding", i).cast("double") * 100.0, 4)
-    return read(spark, d, "embeddings").select(
-        "vec_id", scalars.niche_score(e(1), 1000.0 + 10.0 * e(2), e(3) / 20.0).alias("score"))
-
-
 # ================================================================== ordered windows
 
 

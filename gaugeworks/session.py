@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,16 +25,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "gau
     return spark
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-gaugeworks-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a
-    temporary folder.
+    Only a session on one machine may lack that setting (a test): it gets a
+    temporary folder.  On a cluster, machine-local folders are refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-gaugeworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/gaugeworks-{purpose}-{uuid.uuid4().hex}"
 
 
