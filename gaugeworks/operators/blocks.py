@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .attach import attach
+from ..session import store
+from .attach import attach, null_safe
 
 BLOCK_ROWS = 2_048
 
@@ -46,7 +47,7 @@ def self_pairs(packed: DataFrame, keys) -> DataFrame:
         *keys, "nblk", F.col("blk").alias("i"), F.col("_o").alias("j"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = other.filter(F.col("blk") > F.col("_o")).select(
         *keys, F.col("_o").alias("i"), F.col("blk").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    return own.unionByName(left.join(right, keys + ["i", "j"]))
+    return own.unionByName(null_safe(left, right, keys + ["i", "j"]))
 
 
 def cross_pairs(left: DataFrame, right: DataFrame, keys, lp: str = "a_", rp: str = "b_") -> DataFrame:
@@ -57,7 +58,7 @@ def cross_pairs(left: DataFrame, right: DataFrame, keys, lp: str = "a_", rp: str
     rn = right.groupBy(*keys).agg(F.max(f"{rp}nblk").alias("_rn"))
     l = attach(left, rn, keys).withColumn(f"{rp}blk", F.explode(F.sequence(zero, F.col("_rn") - 1))).drop("_rn", f"{lp}nblk")
     r = attach(right, ln, keys).withColumn(f"{lp}blk", F.explode(F.sequence(zero, F.col("_ln") - 1))).drop("_ln", f"{rp}nblk")
-    return l.join(r, keys + [f"{lp}blk", f"{rp}blk"])
+    return null_safe(l, r, keys + [f"{lp}blk", f"{rp}blk"])
 
 
 def reduce_pairs(pairs: DataFrame, keep, kernel, schema) -> DataFrame:
@@ -103,66 +104,70 @@ def pair_values(row, fn):
     return np.concatenate(out) if out else np.empty(0)
 
 
-HIST_BINS = 4_096
-PASSES = 5
+#: Bits of a value that remain after each pass of ``pair_quantile``: twelve more are settled each time.
+SHIFTS = (52, 40, 28, 16, 4, 0)
+_LOW_BITS = np.int64(0x7FFF_FFFF_FFFF_FFFF)
+
+
+def _image(v: np.ndarray) -> np.ndarray:
+    """The integers whose order is that of the doubles (its own inverse, apart from -0)."""
+    b = (np.asarray(v, float) + 0.0).view(np.int64)
+    return b ^ ((b >> 63) & _LOW_BITS)
 
 
 def pair_quantile(packed: DataFrame, keys, fn, prob: float, out: str) -> DataFrame:
     """Exact ``prob`` quantile (linear interpolation) of ``fn`` over all row pairs of a key.
 
-    Keys that fit in one block are answered inside their task.  Larger keys are
-    narrowed by histograms: five passes of 4 096 bins reach double precision,
-    and only bin counts are shuffled.
+    Keys that fit in one block are answered inside their task.  For larger keys
+    the bits of the two neighbouring order statistics are settled from the top,
+    at most 4 096 counts a key and pass, in six passes whatever the values.
+    The blocks and the state after each pass are tables in the shared folder.
     """
     keys = list(keys)
-    pairs = self_pairs(packed, keys)
 
     def small(row):
         v = pair_values(row, fn)
         return {out: [float(np.quantile(v, prob))]} if v.size else None
 
-    answer = reduce_pairs(pairs.filter("nblk = 1"), keys, small, f"{out} double")
+    answer = reduce_pairs(self_pairs(packed.filter("nblk = 1"), keys), keys, small, f"{out} double")
     if not packed.filter("nblk > 1").limit(1).collect():
         return answer
-    big = pairs.filter("nblk > 1")
-
-    def bounds(row):
-        v = pair_values(row, fn)
-        return {"lo": [v.min()], "hi": [v.max()], "cnt": [v.size]} if v.size else None
-
-    span = (reduce_pairs(big, keys, bounds, "lo double, hi double, cnt long")
-            .groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("cnt").alias("cnt")))
-    h = (F.col("cnt") - 1) * F.lit(float(prob))
-    # the two neighbouring order statistics are narrowed side by side
-    state = span.select(*keys, "lo", "hi", h.alias("h"), F.lit(0).cast("long").alias("below"),
-                        F.posexplode(F.array(F.floor(h), F.ceil(h))).alias("side", "idx"))
+    big = self_pairs(store(packed.filter("nblk > 1"), "pair-blocks"), keys)
+
+    def top_bits(row):
+        bins, c = np.unique(_image(pair_values(row, fn)) >> SHIFTS[0], return_counts=True)
+        return {"bin": bins, "c": c}
+
+    def more_bits(before, shift):
+        def run(row):
+            x = _image(pair_values(row, fn))
+            bins, c = np.unique(x[x >> before == row.prefix] >> shift, return_counts=True)
+            return {"bin": bins, "c": c}
+        return run
+
+    w_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    counts = reduce_pairs(big, keys, top_bits, "bin long, c long").groupBy(*keys, "bin").agg(F.sum("c").alias("c"))
+    h = (F.sum("c").over(w_key) - 1) * F.lit(float(prob))
+    bins = counts.select(*keys, "bin", "c", h.alias("h")).select(
+        "*", F.lit(0).cast("long").alias("below"), F.posexplode(F.array(F.floor("h"), F.ceil("h"))).alias("side", "idx"))
     big = big.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-
-    def hist(row):
-        v = pair_values(row, fn)
-        v = v[(v >= row.lo) & (v <= row.hi)]
-        if not v.size or row.hi <= row.lo:
-            return None
-        b = np.clip(np.floor((v - row.lo) / (row.hi - row.lo) * HIST_BINS), 0, HIST_BINS - 1).astype(int)
-        bins, inv = np.unique(b, return_inverse=True)
-        cnt = np.bincount(inv)
-        vmin = np.full(len(bins), np.inf)
-        vmax = np.full(len(bins), -np.inf)
-        np.minimum.at(vmin, inv, v)
-        np.maximum.at(vmax, inv, v)
-        return {"bin": bins, "c": cnt, "vmin": vmin, "vmax": vmax}
-
-    for _ in range(PASSES):
-        ks = keys + ["side", "idx", "h", "below", "lo", "hi"]
-        parts = reduce_pairs(big.join(state, keys + ["side"]), ks, hist, "bin int, c long, vmin double, vmax double")
-        bins = parts.groupBy(*ks, "bin").agg(F.sum("c").alias("c"), F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
+    state = None
+    ks = keys + ["side", "idx", "h", "below"]
+    for before, shift in zip((None, *SHIFTS), SHIFTS):
+        if before is not None:
+            rows = null_safe(big, state, keys + ["side"])
+            bins = reduce_pairs(rows, ks, more_bits(before, shift), "bin long, c long").groupBy(*ks, "bin").agg(F.sum("c").alias("c"))
         w = W.partitionBy(*ks).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)   # at most 4 096 rows
         cum = bins.withColumn("cum", F.sum("c").over(w) + F.col("below"))
         hit = (F.col("cum") - F.col("c") <= F.col("idx")) & (F.col("idx") < F.col("cum"))
-        narrowed = cum.filter(hit).select(*keys, "side", "idx", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"), "h",
-                                          (F.col("cum") - F.col("c")).alias("below"))
-        done = state.filter(F.col("hi") <= F.col("lo")).select(*keys, "side", "idx", "lo", "hi", "h", "below")
-        state = narrowed.unionByName(done)
-    large = state.groupBy(*keys, "h").agg(F.min_by("lo", "side").alias("v0"), F.max_by("hi", "side").alias("v1"))
-    large = large.select(*keys, (F.col("v0") + (F.col("h") - F.floor("h")) * (F.col("v1") - F.col("v0"))).alias(out))
-    return answer.unionByName(large)
+        state = store(cum.filter(hit).select(*keys, "side", "idx", "h", (F.col("cum") - F.col("c")).alias("below"), F.col("bin").alias("prefix")), "pair-bits")
+
+    def value(rows):
+        for pdf in rows:
+            x = pdf["prefix"].to_numpy(np.int64)
+            yield pdf.assign(v=(x ^ ((x >> 63) & _LOW_BITS)).view(float))[found.names]
+
+    ends = state.select(*keys, "side", "h", "prefix")
+    found = T.StructType([*ends.schema.fields, T.StructField("v", T.DoubleType())])
+    pair = ends.mapInPandas(value, found).groupBy(*keys, "h").agg(F.min_by("v", "side").alias("v0"), F.max_by("v", "side").alias("v1"))
+    return answer.unionByName(pair.select(*keys, (F.col("v0") + (F.col("h") - F.floor("h")) * (F.col("v1") - F.col("v0"))).alias(out)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from ..functions import stats
 from ..functions.scalars import is_finite, md5_int
-from .attach import attach
+from .attach import attach, null_safe
 from .features import rolling
 from .ordered import HOT_ROWS, quantiles, row_numbers
 
@@ -33,7 +33,7 @@ def rx5day(df: DataFrame, keys, pos: str, ts: str, value: str, width: int = 5) -
 def r95p(df: DataFrame, keys, ts: str, value: str, prob: float = 0.95, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Annual sum of days strictly above the record-wide wet-day percentile; 0 in years without one."""
     thr = quantiles(df.filter(F.col(value) > 0), keys, value, {"_thr": prob}, hot_rows)
-    d = df.join(thr, list(keys), "left") if keys else attach(df, thr, [])
+    d = null_safe(df, thr, keys, "left") if keys else attach(df, thr, [])
     return d.groupBy(*keys, F.year(ts).alias("year")).agg(
         F.sum(F.when(F.col(value) > F.col("_thr"), F.col(value)).otherwise(0.0)).alias("value"))
 
@@ -84,7 +84,7 @@ def gev_fit(bm: DataFrame, keys, value: str, hot_rows: int | None = None, order=
 
 def gev_nll(bm: DataFrame, fit: DataFrame, keys, value: str) -> DataFrame:
     """Negative log-likelihood of fitted parameters; +infinity outside the support."""
-    j = bm.filter(is_finite(F.col(value))).join(fit.select(*keys, "c", "loc", "scale"), list(keys))
+    j = attach(bm.filter(is_finite(F.col(value))), fit.select(*keys, "c", "loc", "scale"), keys)
     z = (F.col(value) - F.col("loc")) / F.col("scale")
     c, t = F.col("c"), 1.0 - F.col("c") * z
     ll = (F.when(c == 0, -F.log("scale") - z - F.exp(-z))

@@ -1,21 +1,23 @@
 """Ordered statistics that survive a hot key.
 
 A window over one key runs in one task.  Where a key may hold a large share of
-all rows, the operators here first cut that key into value ranges (splitters
-from ``percentile_approx``, only for keys above ``hot_rows``), aggregate each
-range, carry the range totals forward, and finish inside each range.  The
-answers are exact; the splitters only decide which task does the work.
+all rows, the operators here first deal that key out into ranges of its order
+(Spark's own range partitioning), aggregate each range, carry the range totals
+forward, and finish inside each range.  The answers are exact for keys and order
+columns of any type, nulls included; the ranges only decide which task does the
+work.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..session import store
+from .attach import null_safe
 
 HOT_ROWS = 2_000_000   # a key above this many rows is split
-MAX_HOT_KEYS = 1_000   # any further key holds under a thousandth of the rows
-MAX_RANGES = 256
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -24,33 +26,23 @@ def _with_key(df: DataFrame, keys):
     return (df, list(keys)) if keys else (df.withColumn("_g", F.lit(0)), ["_g"])
 
 
-def with_range_bucket(df: DataFrame, keys, col: str, hot_rows: int = HOT_ROWS):
-    """Add ``_bucket``, a range number that grows with ``col``; returns (df, split?).
+def with_range_bucket(df: DataFrame, keys, order, hot_rows: int = HOT_ROWS):
+    """Add ``_bucket``, a number that grows with ``order`` within each key; returns (df, split?).
 
-    The splitters (at most 1 000 keys x 255 doubles) are read once and become
-    part of the plan, so a recomputed task sees the same ranges.
+    Every key above ``hot_rows`` rows is split, into as many ranges as it needs.
+    The ranges of these keys are written to the shared folder, so a recomputed
+    task sees the same ones.
     """
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-           .orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect())
-    if not hot:
+    keys = list(keys)
+    hot = store(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows), "hot-keys")
+    rows = hot.agg(F.sum("_n")).first()[0]
+    if not rows:
         return df.withColumn("_bucket", F.lit(0)), False
-    spark, x = df.sparkSession, F.col(col).cast("double")
-    ranges = min(MAX_RANGES, max(2, math.ceil(max(r["_n"] for r in hot) / hot_rows)))
-    number = lambda cuts: F.coalesce(F.size(F.filter(cuts, lambda s: s < x)), F.lit(0))
-    if list(keys) == ["_g"]:   # no keys: the splitters are one array literal
-        probs = [i / ranges for i in range(1, ranges)]
-        cuts = df.agg(F.percentile_approx(x, probs, 10_000).alias("c")).collect()[0]["c"]
-        return df.withColumn("_bucket", number(F.array(*[F.lit(float(v)) for v in sorted(set(cuts))]))), True
-    key_schema = df.select(*keys).schema
-    hot_df = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema)
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = (df.join(F.broadcast(hot_df), list(keys), "left_semi").groupBy(*keys)
-            .agg(F.percentile_approx(F.col(col).cast("double"), probs, 10_000).alias("_cuts"))).collect()
-    cut_df = spark.createDataFrame(
-        [tuple(r[k] for k in keys) + (sorted(set(r["_cuts"])),) for r in cuts],
-        T.StructType(key_schema.fields + [T.StructField("_cuts", T.ArrayType(T.DoubleType()))]))
-    out = df.join(F.broadcast(cut_df), list(keys), "left").withColumn("_bucket", number(F.col("_cuts"))).drop("_cuts")
-    return out, True
+    split = null_safe(df, hot.select(*keys), keys, "left_semi")
+    ranges = max(2, math.ceil(rows / hot_rows))
+    dealt = store(split.repartitionByRange(ranges, *keys, *order).withColumn("_bucket", F.spark_partition_id()), "ranges")
+    rest = null_safe(df, hot.select(*keys), keys, "left_anti").withColumn("_bucket", F.lit(0))
+    return dealt.unionByName(rest), True
 
 
 def running(df: DataFrame, keys, order, measures: dict[str, tuple[str, Column]], *,
@@ -68,7 +60,7 @@ def running(df: DataFrame, keys, order, measures: dict[str, tuple[str, Column]],
     elif hot_rows is None:
         df, split = df.withColumn("_bucket", F.lit(0)), False
     else:
-        df, split = with_range_bucket(df, keys2, order[0], hot_rows)
+        df, split = with_range_bucket(df, keys2, order, hot_rows)
     df = df.select("*", *[c.alias(f"_m_{n}") for n, (_, c) in measures.items()])
     part = keys2 + ["_bucket"] if split else keys2
     w = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -86,10 +78,11 @@ def running(df: DataFrame, keys, order, measures: dict[str, tuple[str, Column]],
             cols.append(_AGG[a](f"_e_{n}").over(before).alias(f"_c_{n}"))
             if totals:
                 cols.append(_AGG[a](f"_e_{n}").over(whole).alias(f"tot_{n}"))
-        out = out.join(edge.select(*part, *cols), part)
+        out = null_safe(out, edge.select(*part, *cols), part)
         for n, (a, _) in measures.items():
             if a == "sum":
-                out = out.withColumn(n, F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)))
+                both = F.col(n) + F.col(f"_c_{n}")
+                out = out.withColumn(n, F.coalesce(both, F.col(n), F.col(f"_c_{n}")))
             else:
                 pick = F.greatest if a == "max" else F.least
                 out = out.withColumn(n, pick(n, f"_c_{n}"))

@@ -102,14 +102,9 @@ def restrict(df: DataFrame, members: DataFrame, on) -> DataFrame:
 
 
 def hash_split(df: DataFrame, keys, id_col: str, fractions: dict[str, float], seed: int = 0) -> DataFrame:
-    """Shuffled split that is the same on every cluster: order by md5 of seed and id, cut by count.
-
-    The first two hex digits of the digest serve as ranges, so a single huge
-    key is ordered by 256 tasks.
-    """
+    """Shuffled split that is the same on every cluster: order by md5 of seed and id, cut by count."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
-    d = row_numbers(df.withColumn("_h", h), keys, ["_h"], out="_rn", n="_n",
-                    bucket=F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    d = row_numbers(df.withColumn("_h", h), keys, ["_h"], out="_rn", n="_n")
     role, cum = None, 0.0
     for name, frac in list(fractions.items())[:-1]:
         cum += frac

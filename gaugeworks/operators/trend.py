@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import stats
 from ..session import store
 from . import blocks
+from .attach import attach
 from .ordered import HOT_ROWS, quantiles
 from .series import chunked
 
@@ -44,7 +45,7 @@ def mann_kendall(df: DataFrame, keys, order: str, value: str, block_rows: int =
     n = F.col("n").cast("double")
     var = (n * (n - 1) * (2 * n + 5) - F.col("_tie")) / 18.0
     z = F.when(var <= 0, 0.0).otherwise((F.col("s") - F.signum("s")) / F.sqrt(var))
-    return (s.join(ties, keys).withColumn("z", z).withColumn("p_value", stats.two_sided_p(F.col("z")))
+    return (attach(s, ties, keys).withColumn("z", z).withColumn("p_value", stats.two_sided_p(F.col("z")))
             .select(*keys, F.col("s").cast("long").alias("s"), "z", "p_value", "n"))
 
 
@@ -70,8 +71,8 @@ def sen_line(df: DataFrame, keys, order: str, value: str, block_rows: int = bloc
     """Slope and the median intercept of ``value - slope * order``."""
     keys = list(keys)
     slope = sen_slope(df, keys, order, value, block_rows)
-    resid = df.join(slope, keys).withColumn("_r", F.col(value) - F.col("sen_slope") * F.col(order))
-    return slope.join(quantiles(resid, keys, "_r", {"intercept": 0.5}, hot_rows), keys)
+    resid = attach(df, slope, keys).withColumn("_r", F.col(value) - F.col("sen_slope") * F.col(order))
+    return attach(slope, quantiles(resid, keys, "_r", {"intercept": 0.5}, hot_rows), keys)
 
 
 def lag1_autocorr(df: DataFrame, keys, order: str, value: str) -> DataFrame:
@@ -98,7 +99,7 @@ def table(indices: dict[str, DataFrame], keys, order: str, value: str, alpha: fl
     stacked = store(stacked, "trend")   # a row per key and year, read several times below
     k = ["index_name", *keys]
     thr = alpha / len(indices)
-    return (mann_kendall(stacked, k, order, value).join(sen_slope(stacked, k, order, value), k)
+    return (attach(mann_kendall(stacked, k, order, value), sen_slope(stacked, k, order, value), k)
             .withColumn("bonferroni_alpha", F.lit(thr)).withColumn("significant", F.col("p_value") < thr))
 
 

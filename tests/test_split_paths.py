@@ -179,3 +179,32 @@ def test_pack_bounds_block_size(spark):
     df = spark.range(5000).withColumn("k", F.lit("a")).withColumn("x", F.col("id").cast("double"))
     sizes = [r[0] for r in blocks.pack(df, ["k"], ["x"], "id", 500).select(F.size("x")).collect()]
     assert sum(sizes) == 5000 and len(sizes) == 10 and max(sizes) < 700
+
+
+def test_pair_quantile_over_many_decades(spark):
+    v = 10.0 ** RNG.uniform(-20, 20, 120) * RNG.choice([-1, 1], 120)
+    pdf = pd.DataFrame({"k": [None] * 60 + ["b"] * 60, "t": list(range(60)) * 2, "v": v})
+    df = spark.createDataFrame(pdf, "k string, t long, v double")
+    one = {r["k"]: r["sen_slope"] for r in trend.sen_slope(df, ["k"], "t", "v", 2048).collect()}
+    many = {r["k"]: r["sen_slope"] for r in trend.sen_slope(df, ["k"], "t", "v", 32).collect()}
+    assert set(one) == {None, "b"} and one == many
+    for k, part in ((None, v[:60]), ("b", v[60:])):
+        assert one[k] == pytest.approx(_mk(part, np.arange(60))[1], rel=1e-12)
+
+
+@pytest.mark.parametrize("cast", ["long", "date", "string", "timestamp", "double"])
+def test_row_numbers_of_null_keys_and_any_order(spark, cast):
+    base = spark.range(60).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"),
+                                  F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int") * 37 % 61).alias("d"), "id")
+    day = F.datediff("d", F.lit("1970-01-01"))
+    o = F.when(F.col("id") > 3, {"long": day.cast("long"), "double": day.cast("double")}.get(cast, F.col("d").cast(cast)))
+    df = base.select("k", "id", o.alias("o"))
+    want = sorted(row_numbers(df, ["k"], ["o", "id"], n="n", hot_rows=None).collect(), key=str)
+    got = sorted(row_numbers(df, ["k"], ["o", "id"], n="n", hot_rows=5).collect(), key=str)
+    assert len(got) == 60 and [r.asDict() for r in got] == [r.asDict() for r in want]
+
+
+def test_quantiles_of_null_keys(spark):
+    df = spark.range(80).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"), (F.col("id") * 7 % 31).cast("double").alias("v"))
+    want = sorted(map(str, quantiles(df, ["k"], "v", {"q": 0.3}, None).collect()))
+    assert len(want) == 2 and sorted(map(str, quantiles(df, ["k"], "v", {"q": 0.3}, 5).collect())) == want
