@@ -47,12 +47,13 @@ def knn(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int, block_
         order = np.argsort(bid, kind="stable")
         B, bid = B[order], bid[order]
         d2 = np.maximum((A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T, 0.0)
-        top = np.argsort(np.round(d2, 10), axis=1, kind="stable")[:, :k]
+        d = np.round(np.sqrt(d2), 8)   # the same order in every block and in the final cut
+        top = np.argsort(d, axis=1, kind="stable")[:, :k]
         return {"query": np.repeat(aid, top.shape[1]), "neighbour": bid[top].ravel(),
-                "d": np.sqrt(np.take_along_axis(d2, top, axis=1)).ravel()}
+                "d": np.take_along_axis(d, top, axis=1).ravel()}
 
     cand = blocks.reduce_pairs(blocks.cross_pairs(a, b, []), [], kernel, "query long, neighbour long, d double")
-    w = W.partitionBy("query").orderBy(F.round("d", 8), "neighbour")   # at most k rows per train block
+    w = W.partitionBy("query").orderBy("d", "neighbour")   # at most k rows per train block
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -141,7 +141,7 @@ def _(spark, d):
     return extremes.return_curve(gev(spark, d), KEY)
 
 
-_BOOT_N = 100
+_BOOT_N = 500
 
 
 @query("x10_bootstrap_return_levels", with_("daily amax", f"""SELECT p.series_id, p.period, p.level, b.lo, b.hi, b.n_ok FROM (

@@ -305,7 +305,7 @@ def _(spark, d):
 
 @query("w21_ar_rolling_forecast")
 def _(spark, d):
-    return forecast.ar_rolling(roled(spark, d), KEY, "date", "pos", "value", 7, 14, max_train=1500)
+    return forecast.ar_rolling(roled(spark, d), KEY, "date", "pos", "value", 7, 14)
 
 
 @query("w22_linear_ar_forecast")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, ledger, profile, text
 from ..session import shared_dir
-from ..sources import io
+
 from .base import CTE, query, read, with_
 
 # A stand-in vocabulary of frequent words; the library default is the species vocabulary.
@@ -60,7 +60,7 @@ CTE["amarked"] = f"amarked AS MATERIALIZED (SELECT doc_id, lower(text) AS low, {
 
 
 def docs(spark, d):
-    return io.spread(read(spark, d, "documents").select("doc_id", "text"))
+    return read(spark, d, "documents").select("doc_id", "text")
 
 
 def _spans_sql(cte, words, names):
@@ -346,6 +346,6 @@ def _(spark, d):
     count(*) FILTER (WHERE len(v) > 0) AS n_failed FROM cv UNION ALL SELECT 'has_text', CASE WHEN count(*) FILTER (WHERE NOT n_chars > 0) = 0 THEN 'PASS' ELSE 'FAIL' END,
     count(*) FILTER (WHERE NOT n_chars > 0) FROM documents"""))
 def _(spark, d):
-    x = io.spread(read(spark, d, "documents").select("text", "n_chars"))
+    x = read(spark, d, "documents").select("text", "n_chars")
     return gates.checklist({"citation": gates.check_citations(x, "text").select((F.size("violations") == 0).alias("passed")),
                             "has_text": x.select((F.col("n_chars") > 0).alias("passed"))})

@@ -15,17 +15,6 @@ def scan(spark: SparkSession, path: str, contract=None, fmt: str = "parquet", re
     return assert_contract(df, contract) if contract else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a bare scan that has fewer partitions than the session has cores.
-
-    For CPU-heavy text work on a few small files; a scan of many files or row
-    groups is returned unchanged.  ``df`` must be a scan (asking it for its
-    partitions runs nothing).
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def scan_json_map(spark: SparkSession, path: str, value_schema: str, key: str = "id") -> DataFrame:
     """A JSON file that is one object keyed by record id -> one row per record.
 
