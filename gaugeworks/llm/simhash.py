@@ -175,11 +175,16 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return placed.mapInArrow(lambda b: _bucket_edges(b, radius), "u long, v long")
 
 
-def fingerprint_groups(marked: DataFrame, doc_id: Column, radius: int = RADIUS) -> DataFrame:
-    """``fp, root, component_id`` for every distinct ``fp`` of ``marked``; the id is the smallest of the group's rows."""
+def _rooted(marked: DataFrame, doc_id: Column, radius: int) -> DataFrame:
+    """``fp, first, root``: the smallest id of each distinct fingerprint and the root of its group."""
     fps = store(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "simhash-fps")
     roots = components(fingerprint_links(fps.select("fp"), radius))
-    rooted = store(fps.join(roots, fps["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    return store(fps.join(roots, fps["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
+def fingerprint_groups(marked: DataFrame, doc_id: Column, radius: int = RADIUS) -> DataFrame:
+    """``fp, root, component_id`` for every distinct ``fp`` of ``marked``; the id is the smallest of the group's rows."""
+    rooted = _rooted(marked, doc_id, radius)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.select("fp", "root").join(ids, "root")
 
@@ -199,9 +204,12 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     """One row of each group: that with the smallest id; of rows that share it, one.  A group without ids keeps one row."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), fingerprint_column(F.col(f"`{text}`"), shingle).alias("fp"))
     rows = store(rows, "simhash-rows")
-    groups = fingerprint_groups(rows, F.col("row")[doc_id], radius)
-    first = rows.join(groups, "fp").where(F.col("row")[doc_id].eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["root"]).select("row.*")
+    rooted = _rooted(rows, F.col("row")[doc_id], radius)
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("b"))
+    kept = best.select(F.col("b.fp").alias("fp"), F.struct(F.col("b.first").alias("id")).alias("id"))
+    # a struct of a null equals another, and the rows are shuffled once: by what joins and groups them
+    mine = rows.withColumn("id", F.struct(F.col("row")[doc_id].alias("id"))).join(kept, ["fp", "id"])
+    return mine.groupBy("fp", "id").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op5_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

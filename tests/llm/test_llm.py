@@ -136,6 +136,16 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
+def test_keep_first_of_null_and_repeated_ids(spark):
+    words = "one two three four five six"
+    rows = [(None, words, "a"), (None, words, "b"), (7, "some other text of its own", "c"), (7, "some other text of its own", "d"), (9, words, "e"), (3, None, "f"), (4, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(3)
+    kept = sorted((r["doc_id"], r["text"] or "") for r in simhash.keep_first(docs).collect())
+    assert kept == [(3, ""), (7, "some other text of its own"), (9, words)]
+    alone = simhash.keep_first(docs.where("doc_id is null")).collect()
+    assert len(alone) == 1 and alone[0]["doc_id"] is None and alone[0]["fp"] in "ab"
+
+
 def test_simhash_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 8)
     base, fps = RNG.getrandbits(64), set()
