@@ -230,6 +230,18 @@ def test_passages(spark, none):
     assert passages.shared_passages(none).count() == 0
 
 
+def _fresh(tag, n):
+    return [f"{tag}{i}" for i in range(n)]
+
+
+def test_passages_two_in_one_pair(spark):
+    a, b = _fresh("a", 100), _fresh("b", 80)
+    c, d = _fresh("c", 100), _fresh("d", 60)
+    rows = [(1, " ".join(a + _fresh("p", 100) + b)), (2, " ".join(a + _fresh("q", 100) + b)), (3, " ".join(c + _fresh("r", 22) + d)), (4, " ".join(c + _fresh("s", 22) + d))]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["other_id"], r["start"], r["end"]) for r in got) == [(2, 1, 0, 100), (2, 1, 200, 280), (4, 3, 0, 100), (4, 3, 122, 182)]
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
