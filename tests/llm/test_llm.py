@@ -242,6 +242,36 @@ def test_passages_two_in_one_pair(spark):
     assert sorted((r["doc_id"], r["other_id"], r["start"], r["end"]) for r in got) == [(2, 1, 0, 100), (2, 1, 200, 280), (4, 3, 0, 100), (4, 3, 122, 182)]
 
 
+def test_passages_whose_seeds_have_other_holders(spark):
+    a, b = _fresh("a", 60), _fresh("b", 120)
+    own = lambda tag: _fresh(f"x{tag}_", 30)
+    rows = [(i, " ".join(own(i) + a[:30] + own(f"{i}e"))) for i in (1, 9, 6)] + [(i, " ".join(own(i) + a[30:] + own(f"{i}e"))) for i in (2, 8)]
+    rows += [(i, " ".join(own(i) + a + own(f"{i}e"))) for i in (5, 7)]
+    rows += [(i, " ".join(own(i) + b[25:95] + own(f"{i}e"))) for i in (101, 109)] + [(i, " ".join(own(i) + b + own(f"{i}e"))) for i in (105, 107)]
+    got = {(r["doc_id"], r["other_id"]): (r["start"], r["end"], r["n_matched"]) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[7, 5] == (30, 90, 60) and got[107, 105] == (30, 150, 120)
+
+
+def _found(r, n, rate):
+    """Whether a passage of n words with a share of words changed is found between two texts."""
+    a, pad = _fresh("a", n), lambda t: _fresh(t, 60)
+    b = [f"y{i}" if i in set(r.sample(range(n), round(n * rate))) else w for i, w in enumerate(a)] if rate else a
+    x, y = pad("p") + a + pad("q"), pad("u") + b + pad("v")
+    s, t = (list(zip(*map(np.ndarray.tolist, passages.seeds(" ".join(w))[:2]))) for w in (x, y))
+    both = sorted((p, q) for h, p in s for g, q in t if h == g)
+    if not both:
+        return False
+    px, py = (np.array(c) for c in zip(*both))
+    return any(passages.align(x, y, px[c].tolist(), py[c].tolist()) for c in passages.chains(px, py)
+               if min(px[c[-1]] - px[c[0]], py[c[-1]] - py[c[0]]) + passages.K >= passages.SPREAD)
+
+
+@pytest.mark.parametrize("n,rate,least", [(55, 0.08, 0.97), (60, 0.10, 0.95), (80, 0.15, 0.95)])
+def test_passages_with_changed_words(n, rate, least):
+    r = random.Random(n)
+    assert sum(_found(r, n, rate) for _ in range(100)) >= 100 * least
+
+
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")
