@@ -2,10 +2,12 @@
 
 Paragraphs pass points (one each, one per comma, up to three for length) to the
 elements above them, less with every level; an element's points are discounted by
-its share of text in links.  The best element is the container; if it lies in an
-article element, that one.  The container and its worthy siblings are kept, less
-the parts that are no article: menus, headers, footers, side bars, notices,
-adverts, forms, reader comments.
+its share of text in links.  The best element is the core.  If it lies in an article
+element, that one and its worthy siblings are kept.  Otherwise the container is the
+main element or else the nearest one named as content, or else the core's parent;
+it is kept with all its parts that are not mostly links.  What is no article goes
+in any case: menus, headers, footers, side bars, notices, adverts, forms, reader
+comments.
 """
 
 from __future__ import annotations
@@ -189,6 +191,30 @@ def _share(node: _Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def _container(best: _Node) -> _Node | None:
+    """The main element round the core, the nearest element named as content, or the parent."""
+    named, up = None, best
+    while up is not None:
+        if up.tag == "main":
+            return up
+        if named is None and up is not best and up.hint and up.tag not in ("body", "html"):
+            named = up
+        up = up.parent
+    return named or best.parent
+
+
+def _part(node: _Node, path: set[int], container: _Node, text: str, linked: int) -> bool:
+    """Whether a block lies in the container and the part of it beside the way to the core is not mostly links."""
+    top, up = None, node
+    while up is not None and id(up) not in path:
+        top, up = up, up.parent
+    if up is None:
+        return False
+    if top is None or not top.chars:  # text in an element on the way itself, or a paragraph there
+        return linked * 2 <= len(text)
+    return top.linked * 2 <= top.chars
+
+
 def extract(page: str | None) -> str:
     """The article of a page as lines, empty if there is none."""
     blocks = _blocks(page or "")
@@ -219,8 +245,17 @@ def extract(page: str | None) -> str:
         if n.parent is best.parent and n is not best and best.parent is not None:
             if n.points * (1 - _share(n)) >= max(3.0, 0.2 * worth):
                 kept.add(id(n))
+    container = None if best.tag == "article" else _container(best)
+    path = set()
+    up = best
+    while container is not None and up is not None:
+        path.add(id(up))
+        up = None if up is container else up.parent
     lines = []
     for text, linked, node in blocks:
+        if container is not None and _part(node, path, container, text, linked):
+            lines.append(text)
+            continue
         up = node
         while up is not None and id(up) not in kept:
             up = up.parent

@@ -230,6 +230,18 @@ def test_passages(spark, none):
     assert passages.shared_passages(none).count() == 0
 
 
+def test_articles_keep_all_sections():
+    long = "One, two, three, and a sentence that is long enough to count, with more words so that it has points, and then some."
+    brief = "A section with one paragraph, of some hundred and fifty characters, which has few points of its own beside a section of twelve paragraphs in it."
+    first = "".join(f"<p>{long} {i}</p>" for i in range(12))
+    rest = f"<section><h2>B</h2><p>{brief}</p></section><section><h2>C</h2><ul><li>tea</li><li>milk</li></ul></section>"
+    links = '<div><a href="/a">other page</a> <a href="/b">another page</a></div>'
+    want = [f"{long} {i}" for i in range(12)] + ["B", brief, "C", "tea", "milk"]
+    for page in (f"<main><section>{first}</section>{rest}{links}</main>", f"<body><div><section>{first}</section>{rest}{links}</div></body>",
+                 f'<div class="content"><div><section>{first}</section></div><div>{rest}</div>{links}</div><nav>menu</nav>'):
+        assert article.extract(page).split("\n") == want
+
+
 def _fresh(tag, n):
     return [f"{tag}{i}" for i in range(n)]
 
