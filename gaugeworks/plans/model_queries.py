@@ -9,8 +9,6 @@ from ..operators import features, metrics, models, raster, score
 from ..operators.attach import attach
 from .base import cells, hourly_roled, patches, query, read, stations
 
-TREES = 10   # enough to exercise the models; the library defaults are those of a full fit
-
 
 def _covariates(spark, d):
     e = lambda i: F.round(F.element_at("embedding", i).cast("double") * 100.0, 4)
@@ -23,7 +21,7 @@ _XS = ["fx", "fy", "fcov", "fxy", "fcov2", "fxcov", "fycov"]
 
 def _surface(spark, d, fit):
     x = _covariates(spark, d)
-    m = fit(x.filter("vec_id % 2 = 0"), _XS, "value", trees=TREES)
+    m = fit(x.filter("vec_id % 2 = 0"), _XS, "value")
     return m, models.assemble(x.filter("vec_id % 2 = 1"), _XS)
 
 
@@ -67,7 +65,7 @@ _IX = ["ndvi", "ndwi", "swir_mean", "brightness"]
 
 def _landcover(spark, d):
     x = _indices(spark, d)
-    m = models.rf_classify(x.filter("patch_id % 4 <> 0"), _IX, "label", trees=TREES, depth=8)
+    m = models.rf_classify(x.filter("patch_id % 4 <> 0"), _IX, "label")
     return m.transform(models.assemble(x.filter("patch_id % 4 = 0"), _IX)).select("patch_id", F.col("label").cast("int").alias("label"), F.col("pred").cast("int").alias("pred"))
 
 
@@ -103,7 +101,7 @@ def _glm(spark, d):
 
 def _boosted(spark, d):
     x = _presence(spark, d)
-    m = models.gbt_calibrated(x.filter("doc_id % 10 < 7"), ["t", "p", "e"], "y_label", "doc_id", trees=TREES)
+    m = models.gbt_calibrated(x.filter("doc_id % 10 < 7"), ["t", "p", "e"], "y_label", "doc_id")
     return m, m.transform(x.filter("doc_id % 10 >= 7")).select("doc_id", F.lit("boosted").alias("method"), "y_label", "prob")
 
 
@@ -134,7 +132,7 @@ def _nowcast(spark, d, covariates):
     f, names = features.nowcast_frame(hourly_roled(spark, d).fillna({"pm25": 0.0, "wind": 0.0, "temp": 0.0, "boundary_layer": 0.0}),
                                       ["station"], "pos", "ts", "pm25", covariates)
     f = features.complete_cases(f, names)
-    m = models.gbt_regress(f.filter("role <> 'test'"), names, "pm25", trees=TREES)
+    m = models.gbt_regress(f.filter("role <> 'test'"), names, "pm25")
     return m.transform(models.assemble(f.filter("role = 'test'"), names)).select(
         "station", "ts", F.col("pm25").alias("y_true"), F.greatest(F.col("y_pred"), F.lit(0.0)).alias("y_pred"))
 
