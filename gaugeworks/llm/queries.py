@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import article, maxscore, mixing, packing, passages, personal, quality, repair, separators, simhash, token_files, trie
+from . import article, maxscore, mixing, packing, passages, personal, quality, repair, secret_tags, separators, simhash, token_files, trie
 
 QUERIES = {
     "op1_range_coded_ids": token_files.op1_range_coded_ids,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_adaptive_quality": quality.op8_adaptive_quality,
     "op9_separator_scan": separators.op9_separator_scan,
     "op10_extract_articles": article.op10_extract_articles,
+    "op11_secret_spans": secret_tags.op11_secret_spans,
     "op12_repair_conversations": repair.op12_repair_conversations,
     "op13_conversation_trie": trie.op13_conversation_trie,
 }
