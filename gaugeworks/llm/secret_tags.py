@@ -36,8 +36,10 @@ WORDS = ("passw", "secret", "token", "api_key", "apikey")
 
 #: Most labelled windows (with a pattern's span, without) that the field is fitted on, and characters kept on each side.
 WINDOWS, SIDE = (400, 600), 100
+#: Characters of a value in such a window (all longer tokens have the same features).
+LONGEST = 256
 #: Rounds of fitting, step and weight decay.
-ROUNDS, STEP, DECAY = 120, 0.2, 2e-6
+ROUNDS, STEP, DECAY = 100, 0.2, 2e-6
 #: Characters of the shortest span that the field may add.
 SHORTEST = 8
 #: Bytes tagged at a time (a longer text is one slice).
@@ -320,8 +322,8 @@ def _windows(batches, schema):
                 continue
             found = base_spans(text)
             for start, _, _, a, e in found:
-                lo = max(0, start - SIDE)
-                offer(1, text[lo:e + SIDE], lambda: (start - lo, a - lo, e - lo, _file_number(text)))
+                lo, stop = max(0, start - SIDE), min(e, a + LONGEST)
+                offer(1, text[lo:stop] + text[e:e + SIDE], lambda: (start - lo, a - lo, stop - lo, _file_number(text)))
             if not found:
                 lo = zlib.crc32(text[:64].encode()) % max(1, len(text) - SIDE)
                 offer(0, text[lo:lo + 2 * SIDE], lambda: (0, 0, 0, _file_number(text)))
@@ -383,15 +385,17 @@ def train(docs: DataFrame, text: str = "text") -> Field | None:
     for w in sorted(marked, key=lambda w: (w["mark"], w["text"])):
         t, c, a, b = w["text"], w["cue_start"], w["value_start"], w["value_end"]
         out.append(_sequence(t, [(s[3], s[4]) for s in base_spans(t)] + [(a, b)], w["file"]))
-        for _ in range(max(1, WINDOWS[0] // (2 * len(marked)))):      # few windows give many copies
-            for cue in (t[c:a], r.choice(ANNOUNCED)):
+        for _ in range(max(1, WINDOWS[0] // len(marked))):      # few windows give many copies
+            for cue, behind in ((t[c:a], t[b:]), (r.choice(ANNOUNCED), r.choice([" ", "\n", ". ", ", "]) + t[b:].lstrip("\"' "))):
                 v = _random_value(r)
-                out.append(_sequence(t[:c] + cue + v + t[b:], [(c + len(cue), c + len(cue) + len(v))], w["file"]))
+                out.append(_sequence(t[:c] + cue + v + behind, [(c + len(cue), c + len(cue) + len(v))], w["file"]))
             out.append(_sequence(t[:c] + r.choice(HARMLESS) + _decoy(r) + t[b:], [], w["file"]))
     for w in sorted(plain, key=lambda w: (w["mark"], w["text"])):
         t, half = w["text"], len(w["text"]) // 2
         out.append(_sequence(t, [], w["file"]))
         out.append(_sequence(f"{t[:half]} {r.choice(HARMLESS)}{_decoy(r)} {t[half:]}", [], w["file"]))
+        before, v = f"{t[:half]} {r.choice(ANNOUNCED)}", _random_value(r)
+        out.append(_sequence(f"{before}{v} {t[half:]}", [(len(before), len(before) + len(v))], w["file"]))
     return Field().fit([s for s in out if len(s[1])])
 
 
