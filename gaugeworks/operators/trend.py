@@ -2,75 +2,58 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
 from ..session import store
-from . import blocks
 from .attach import attach
+from .inversions import GROUP_ROWS, concordance, slope_quantiles
 from .ordered import HOT_ROWS, quantiles
 from .series import chunked
 
 
-def _sign(a, b):
-    dt = b["t"] - a["t"]
-    return np.sign(dt) * np.sign(b["y"] - a["y"]), dt != 0
+def _pairs(df: DataFrame, keys, order: str, value: str, group_rows: int) -> DataFrame:
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(order).cast("double").alias("t"), F.col(value).cast("double").alias("y"))
+    return concordance(d, keys, "t", ["y"], group_rows=group_rows)
 
 
-def _slope(a, b):
-    dt = b["t"] - a["t"]
-    ok = dt != 0
-    return (b["y"] - a["y"]) / np.where(ok, dt, 1.0), ok
+def mann_kendall(df: DataFrame, keys, order: str, value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """S, continuity-corrected z, two-sided p and n per key; the variance carries the tie term.
 
-
-def _packed(df: DataFrame, keys, order: str, value: str, block_rows: int) -> DataFrame:
-    d = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(order).cast("double").alias("t"), F.col(value).cast("double").alias("y"))
-    return blocks.pack(d, keys, ["t", "y"], "t", block_rows)
-
-
-def mann_kendall(df: DataFrame, keys, order: str, value: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """S, continuity-corrected z, two-sided p and n per key; the variance carries the tie term."""
+    S is counted in n log n (see :mod:`inversions`); a key above ``group_rows`` rows is split.
+    """
     keys = list(keys)
-
-    def kernel(row):
-        return {"s": [float(blocks.pair_values(row, _sign).sum())]}
-
-    s = (blocks.reduce_pairs(blocks.self_pairs(_packed(df, keys, order, value, block_rows), keys), keys, kernel, "s double")
-         .groupBy(*keys).agg(F.sum("s").alias("s")))
+    s = _pairs(df, keys, order, value, group_rows).select(*keys, (F.col("up") - F.col("down")).alias("s"))
     ties = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
             .groupBy(*keys).agg(F.sum("c").alias("n"),
                                 F.sum(F.col("c") * (F.col("c") - 1) * (2 * F.col("c") + 5)).alias("_tie")))
     n = F.col("n").cast("double")
     var = (n * (n - 1) * (2 * n + 5) - F.col("_tie")) / 18.0
-    z = F.when(var <= 0, 0.0).otherwise((F.col("s") - F.signum("s")) / F.sqrt(var))
+    z = F.when(var <= 0, 0.0).otherwise((F.col("s") - F.signum(F.col("s").cast("double"))) / F.sqrt(var))
     return (attach(s, ties, keys).withColumn("z", z).withColumn("p_value", stats.two_sided_p(F.col("z")))
-            .select(*keys, F.col("s").cast("long").alias("s"), "z", "p_value", "n"))
+            .select(*keys, "s", "z", "p_value", "n"))
 
 
-def pair_counts(df: DataFrame, keys, order: str, value: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+def pair_counts(df: DataFrame, keys, order: str, value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Number of time-ordered pairs and of pairs in which the later value is larger."""
     keys = list(keys)
-
-    def kernel(row):
-        v = blocks.pair_values(row, _sign)
-        return {"n": [v.size], "up": [int((v > 0).sum())]}
-
-    part = blocks.reduce_pairs(blocks.self_pairs(_packed(df, keys, order, value, block_rows), keys), keys, kernel, "n long, up long")
-    return part.groupBy(*keys).agg(F.sum("n").alias("n_pairs"), F.sum("up").alias("n_up"))
+    steps = df.filter(F.col(value).isNotNull() & F.col(order).isNotNull()).groupBy(*keys, order).agg(F.count(F.lit(1)).alias("c"))
+    n = F.sum("c")
+    pairs = steps.groupBy(*keys).agg(F.floor((n * n - F.sum(F.col("c") * F.col("c"))) / 2).cast("long").alias("n_pairs"))
+    up = _pairs(df, keys, order, value, group_rows).select(*keys, F.col("up").alias("n_up"))
+    return attach(pairs, up, keys)
 
 
-def sen_slope(df: DataFrame, keys, order: str, value: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """Median of all pairwise slopes per step."""
-    return blocks.pair_quantile(_packed(df, keys, order, value, block_rows), keys, _slope, 0.5, "sen_slope")
+def sen_slope(df: DataFrame, keys, order: str, value: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Median of all pairwise slopes per step, selected without forming the pairs (see :mod:`inversions`)."""
+    return slope_quantiles(df, keys, order, value, 0.5, "sen_slope", group_rows)
 
 
-def sen_line(df: DataFrame, keys, order: str, value: str, block_rows: int = blocks.BLOCK_ROWS,
+def sen_line(df: DataFrame, keys, order: str, value: str, group_rows: int = GROUP_ROWS,
              hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Slope and the median intercept of ``value - slope * order``."""
     keys = list(keys)
-    slope = sen_slope(df, keys, order, value, block_rows)
+    slope = sen_slope(df, keys, order, value, group_rows)
     resid = attach(df, slope, keys).withColumn("_r", F.col(value) - F.col("sen_slope") * F.col(order))
     return attach(slope, quantiles(resid, keys, "_r", {"intercept": 0.5}, hot_rows), keys)
 
