@@ -7,12 +7,15 @@ the partial results are summed.  ``keys`` separates fields (variable, date).
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import store
 from . import blocks
-from .attach import attach
+from .attach import attach, null_safe
 
 
 def _xy(row, p):
@@ -129,7 +132,7 @@ def variogram(stations: DataFrame, keys, value: str = "value", n_bins: int = 15,
     part = blocks.reduce_pairs(pairs, k, kernel, "bin int, n long, g double")
     agg = part.groupBy(*k, "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     spine = lim.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
-    out = spine.join(agg, k + ["bin"], "left")
+    out = null_safe(spine, agg, k + ["bin"], "left")
     width = F.col("max_dist") / n_bins
     return out.select(*k, "bin", ((F.col("bin") + 0.5) * width).alias("lag"),
                       (F.col("g") / F.col("n")).alias("gamma"), F.coalesce("n", F.lit(0).cast("long")).alias("n_pairs"))
@@ -140,27 +143,89 @@ def _complex_values(row, fn):
     return np.concatenate(out) if out else np.empty(0, dtype=complex)
 
 
-def nearest(stations: DataFrame, cells: DataFrame, keys, cell_id: str, k_near: int, cols=("x", "y"),
+#: Tile sides double from level to level; this many levels reach over any field.
+MOST_LEVELS = 20
+
+
+def _tiled(stations: DataFrame, cells: DataFrame, keys, k_near: int):
+    """Stations and cells with tile numbers ``tx``, ``ty`` of level 0 and the number of levels ``top`` of their key.
+
+    One level-0 tile holds about ``k_near`` stations on average; the tiles reach
+    over the stations and cells of the key.
+    """
+    def box(df, p, n):
+        lim = [f("x").alias(f"{p}x{i}") for i, f in enumerate((F.min, F.max))] + [f("y").alias(f"{p}y{i}") for i, f in enumerate((F.min, F.max))]
+        return df.groupBy(*keys).agg(*lim, *([F.count(F.lit(1)).alias("_n")] if n else []))
+
+    s, c = box(stations, "s", True), box(cells, "c", False)
+    per = attach(s, c, keys)
+    lo = lambda z: F.least(f"s{z}0", f"c{z}0")
+    span = F.greatest(*[F.greatest(f"s{z}1", f"c{z}1") - lo(z) for z in "xy"])
+    area = (F.col("sx1") - F.col("sx0")) * (F.col("sy1") - F.col("sy0"))
+    side = F.greatest(F.sqrt(area * k_near / F.col("_n")), span / (1 << MOST_LEVELS))
+    side = F.when(span > 0, side).otherwise(1.0)
+    per = per.select(*keys, lo("x").alias("_x0"), lo("y").alias("_y0"), side.alias("_side"),
+                     F.greatest(F.lit(0), F.ceil(F.log2(span / side)) + 1).cast("int").alias("top"))
+
+    both = stations.withColumn("_cell", F.lit(None).cast(cells.schema["rid"].dataType)).withColumnRenamed("rid", "_station").unionByName(
+        cells.withColumn("_station", F.lit(None).cast(stations.schema["rid"].dataType)).withColumnRenamed("rid", "_cell")
+        .select(*keys, "_station", *[c for c in cells.columns if c not in (*keys, "rid")], "_cell"))
+    tile = lambda z: F.floor((F.col(z) - F.col(f"_{z}0")) / F.col("_side")).cast("long")
+    rows = store(attach(both, per, keys).withColumns({"tx": tile("x"), "ty": tile("y")}).drop("_x0", "_y0", "_side"), "tiles")   # read several times
+    return rows.where(F.col("_station").isNotNull()).drop("_cell").withColumnRenamed("_station", "rid"), \
+        rows.where(F.col("_cell").isNotNull()).drop("_station").withColumnRenamed("_cell", "rid")
+
+
+def _at_level(df: DataFrame, level: str = "p") -> DataFrame:
+    return df.withColumns({c: F.expr(f"shiftright({t}, {level})") for c, t in (("a", "tx"), ("b", "ty"))})
+
+
+def nearest(stations: DataFrame, cells: DataFrame, keys, cell_id: str, k_near: int,
             block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """The ``k_near`` closest stations of every cell, exact: (cell, id, d, rank).
+    """The ``k_near`` closest stations of every cell, exact: (cell, id, d, rank); ties go to the smaller id.
 
-    Each block pair keeps its local top k, so at most k rows per cell and
-    station block are merged.
+    Tiles come in levels of doubling side.  The least level at which a cell's own tile
+    holds ``k_near`` stations bounds their distance by that tile's diagonal, so the
+    stations of the five by five tiles around it are enough.  Dense places are
+    settled at small tiles, empty ones at large tiles, all in one pass.  A tile with
+    many rows is cut into blocks.  Rows without a place take no part.
     """
-    s, c, k = stations, cells, list(keys)
-    cols = list(cols)
-    sp = blocks.pack(s.withColumn("rid", F.col("id")), k, ["rid", *cols], "id", block_rows, "b_")
-    cp = blocks.pack(c.withColumn("rid", F.col(cell_id)), k, ["rid", *cols], cell_id, block_rows, "a_")
+    if not list(keys):
+        one = {"nokey": F.lit(0)}
+        return nearest(stations.withColumns(one), cells.withColumns(one), ["nokey"], cell_id, k_near, block_rows).drop("nokey")
+    k = list(keys)
+    have = F.col("x").isNotNull() & F.col("y").isNotNull()
+    double = {z: F.col(z).cast("double") for z in ("x", "y")}
+    s, c = _tiled(stations.where(have).select(*k, F.col("id").alias("rid"), *[v.alias(z) for z, v in double.items()]),
+                  cells.where(have).select(*k, F.col(cell_id).alias("rid"), *[v.alias(z) for z, v in double.items()]), k, k_near)
+    levels = F.explode(F.sequence(F.lit(0), F.col("top"))).alias("p")
+    held = _at_level(s.groupBy(*k, "tx", "ty", "top").agg(F.count(F.lit(1)).alias("_c")).select("*", levels)).groupBy(*k, "p", "a", "b").agg(
+        F.sum("_c").alias("_c")).where(F.col("_c") >= k_near).drop("_c")
+    places = _at_level(c.select(*k, "tx", "ty", "top").distinct().select("*", levels))
+    level = null_safe(places, held.withColumn("_ok", F.lit(1)), [*k, "p", "a", "b"], "left").groupBy(*k, "tx", "ty").agg(
+        F.coalesce(F.min(F.when(F.col("_ok") == 1, F.col("p"))), F.max("top")).alias("p"))
+    level = store(level, "levels")
+    c = _at_level(null_safe(c.drop("top"), level, [*k, "tx", "ty"]))
+    centres = _at_level(level).select(*k, "p", "a", "b").distinct()
+    used = centres.groupBy(*k).agg(F.collect_set("p").alias("_p"))          # at most MOST_LEVELS + 2 numbers
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+    s = _at_level(attach(s.drop("top"), used, k).withColumn("p", F.explode("_p")).drop("_p")).withColumn("_o", F.explode(around))
+    s = s.withColumn("a", F.col("a") + F.col("_o.i")).withColumn("b", F.col("b") + F.col("_o.j")).drop("_o", "tx", "ty")
+    s = store(null_safe(s, centres, [*k, "p", "a", "b"], "left_semi"), "stations-around")
+
+    tk = [*k, "p", "a", "b"]
+    sp = blocks.pack(s, tk, ["rid", "x", "y"], "rid", block_rows, "b_")
+    cp = blocks.pack(c.drop("tx", "ty"), tk, ["rid", "x", "y"], "rid", block_rows, "a_")
 
     def kernel(row):
-        a = np.column_stack([np.asarray(getattr(row, "a_" + x), float) for x in cols])
-        b = np.column_stack([np.asarray(getattr(row, "b_" + x), float) for x in cols])
+        ax, ay = _xy(row, "a_")
+        bx, by = _xy(row, "b_")
         aid, bid = np.asarray(row.a_rid), np.asarray(row.b_rid)
         order = np.argsort(bid, kind="stable")
-        b, bid = b[order], bid[order]
+        bx, by, bid = bx[order], by[order], bid[order]
         q, n, d = [], [], []
-        for i in range(0, len(a), 256):
-            d2 = ((a[i:i + 256, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+        for i in range(0, len(aid), 256):
+            d2 = (ax[i:i + 256, None] - bx) ** 2 + (ay[i:i + 256, None] - by) ** 2
             top = np.argsort(d2, axis=1, kind="stable")[:, :k_near]   # ties: smaller id first
             q.append(np.repeat(aid[i:i + 256], top.shape[1]))
             n.append(bid[top].ravel())
@@ -169,7 +234,7 @@ def nearest(stations: DataFrame, cells: DataFrame, keys, cell_id: str, k_near: i
 
     ct = cells.schema[cell_id].dataType.simpleString()
     st = stations.schema["id"].dataType.simpleString()
-    cand = blocks.reduce_pairs(blocks.cross_pairs(cp, sp, k), k, kernel, f"{cell_id} {ct}, id {st}, d double")
+    cand = blocks.reduce_pairs(blocks.cross_pairs(cp, sp, tk), k, kernel, f"{cell_id} {ct}, id {st}, d double")
     w = W.partitionBy(*k, cell_id).orderBy("d", "id")   # at most k rows per station block
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k_near)
 
@@ -178,70 +243,96 @@ def exponential_cov(h, sill, rng):
     return sill * np.exp(-h / rng)
 
 
-def kriging(stations: DataFrame, cells: DataFrame, keys, cell_id: str, *, nugget: float, sill: float, rng: float,
-            k_near: int = 16, value: str = "value") -> DataFrame:
+#: Parameters of an exponential variogram model.
+MODEL = ("nugget", "sill", "rng")
+
+
+def _solve_kriging(x, y, z, d, nugget, sill, rng):
+    """Mean and standard deviation of systems of one size, solved together; a singular one by least squares."""
+    n, m = x.shape
+    h = np.sqrt((x[:, :, None] - x[:, None, :]) ** 2 + (y[:, :, None] - y[:, None, :]) ** 2)
+    a, rhs = np.ones((n, m + 1, m + 1)), np.ones((n, m + 1, 1))
+    a[:, :m, :m] = exponential_cov(h, sill[:, None, None], rng[:, None, None]) + nugget[:, None, None] * np.eye(m)
+    a[:, m, m] = 0.0
+    rhs[:, :m, 0] = exponential_cov(d, sill[:, None], rng[:, None])
+    try:
+        w = np.linalg.solve(a, rhs)[:, :, 0]
+    except np.linalg.LinAlgError:
+        w = (np.linalg.pinv(a) @ rhs)[:, :, 0]
+    return (w[:, :m] * z).sum(axis=1), np.sqrt(np.maximum(sill + nugget - (w * rhs[:, :, 0]).sum(axis=1), 0.0))
+
+
+def kriging(stations: DataFrame, cells: DataFrame, keys, cell_id: str, *, nugget: float | None = None, sill: float | None = None,
+            rng: float | None = None, model: DataFrame | None = None, k_near: int = 16, value: str = "value") -> DataFrame:
     """Local ordinary kriging from the ``k_near`` closest stations: mean and standard deviation.
 
-    Each cell brings one fixed-size system (k_near + 1 unknowns); a batch is
-    solved at once in NumPy.
+    The variogram is given by numbers or by ``model``, a table with columns
+    ``nugget, sill, rng`` per key (see :func:`fit_variogram`).  Each cell brings one
+    fixed-size system (k_near + 1 unknowns); a batch is solved at once in NumPy.
+    Stations without a value or a place take no part.
     """
+    keys = list(keys)
+    stations = stations.where(F.col(value).isNotNull())
     near = nearest(stations, cells, keys, cell_id, k_near)
     s = stations.select(*keys, "id", F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"),
                         F.col(value).cast("double").alias("sz"))
-    packed = (near.join(s, [*keys, "id"]).groupBy(*keys, cell_id)
+    packed = (null_safe(near, s, [*keys, "id"]).groupBy(*keys, cell_id)
               .agg(F.array_sort(F.collect_list(F.struct("rank", "sx", "sy", "sz", "d"))).alias("_n")))
+    given = dict(zip(MODEL, (nugget, sill, rng)))
+    packed = packed.withColumns({c: F.lit(float(v)) for c, v in given.items()}) if model is None else attach(packed, model.select(*keys, *MODEL), keys)
 
     @F.pandas_udf("mean double, sd double")
-    def solve(x: pd.Series, y: pd.Series, z: pd.Series, d: pd.Series) -> pd.DataFrame:
+    def solve(x: pd.Series, y: pd.Series, z: pd.Series, d: pd.Series, nugget: pd.Series, sill: pd.Series, rng: pd.Series) -> pd.DataFrame:
         out = np.full((len(x), 2), np.nan)
         size = x.map(len).to_numpy()
         for m in np.unique(size):
             at = np.flatnonzero(size == m)
-            X, Y, Z, D = (np.stack([np.asarray(v.iloc[i], float) for i in at]) for v in (x, y, z, d))
-            h = np.sqrt((X[:, :, None] - X[:, None, :]) ** 2 + (Y[:, :, None] - Y[:, None, :]) ** 2)
-            a = np.ones((len(at), m + 1, m + 1))
-            a[:, :m, :m] = exponential_cov(h, sill, rng) + nugget * np.eye(m)
-            a[:, m, m] = 0.0
-            rhs = np.ones((len(at), m + 1, 1))
-            rhs[:, :m, 0] = exponential_cov(D, sill, rng)
-            w = np.linalg.solve(a, rhs)[:, :, 0]
-            out[at, 0] = (w[:, :m] * Z).sum(axis=1)
-            out[at, 1] = np.sqrt(np.maximum(sill + nugget - (w * rhs[:, :, 0]).sum(axis=1), 0.0))
+            near = (np.stack([np.asarray(v.iloc[i], float) for i in at]) for v in (x, y, z, d))
+            out[at, 0], out[at, 1] = _solve_kriging(*near, *(v.to_numpy()[at] for v in (nugget, sill, rng)))
         return pd.DataFrame(out, columns=["mean", "sd"])
 
-    arr = lambda f: F.transform("_n", lambda r: r[f])
-    return (packed.withColumn("_k", solve(arr("sx"), arr("sy"), arr("sz"), arr("d")))
+    arr = lambda f: F.transform("_n", lambda r: r[f])
+    return (packed.withColumn("_k", solve(arr("sx"), arr("sy"), arr("sz"), arr("d"), *MODEL))
             .select(*keys, cell_id, "_k.mean", "_k.sd"))
 
 
-def fit_variogram(vg: DataFrame, n_range: int = 60) -> dict[str, float]:
-    """Exponential model (nugget, sill, range) by weighted least squares over the bins of one field.
+def fit_variogram(vg: DataFrame, keys, n_range: int = 60) -> DataFrame:
+    """Exponential model (``nugget``, ``sill``, ``rng``) of each key by weighted least squares over the bins of :func:`variogram`.
 
-    The variogram is a table of ``n_bins`` rows; each trial range gives a linear
-    problem for nugget and sill.
+    Each of ``n_range`` trial ranges, from half the least lag to three times the largest in
+    equal ratios, gives a linear problem in two unknowns; one aggregation holds the
+    sums of all of them, and the smallest error wins (the smaller range on ties).
+    A key without a filled bin has no row.
     """
-    rows = vg.filter("gamma is not null").select("lag", "gamma", "n_pairs").collect()
-    h, g, w = (np.array([float(r[c]) for r in rows]) for c in ("lag", "gamma", "n_pairs"))
-    best = None
-    for rng in np.geomspace(max(h.min(), 1e-9) / 2, h.max() * 3, n_range):
-        x = np.column_stack([np.ones_like(h), 1 - np.exp(-h / rng)])
-        sw = np.sqrt(w)
-        coef, *_ = np.linalg.lstsq(x * sw[:, None], g * sw, rcond=None)
-        coef = np.maximum(coef, [1e-9, 1e-9])
-        err = float((w * (x @ coef - g) ** 2).sum())
-        if best is None or err < best[0]:
-            best = (err, coef, rng)
-    return {"nugget": float(best[1][0]), "sill": float(best[1][1]), "rng": float(best[2])}
-
-
-def regression_kriging(stations: DataFrame, cells: DataFrame, cell_id: str, covariates, *, nugget: float, sill: float,
-                       rng: float, alpha: float = 1e-6, k_near: int = 16) -> DataFrame:
-    """Covariate regression plus kriged residuals."""
+    keys = list(keys)
+    rows = store(vg, "variogram").where("gamma is not null").select(*keys, F.col("lag").cast("double").alias("h"), F.col("gamma").cast("double").alias("g"), F.col("n_pairs").cast("double").alias("w"))
+    ends = rows.groupBy(*keys).agg((F.greatest(F.min("h"), F.lit(1e-9)) / 2).alias("_lo"), (F.max("h") * 3).alias("_hi"))
+    trials = attach(rows, ends, keys).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_range - 1))))
+    step = F.exp(F.log("_lo") + F.col("_i") * ((F.log("_hi") - F.log("_lo")) / (n_range - 1)))
+    trials = trials.withColumn("rng", step).withColumn("u", 1 - F.exp(-F.col("h") / F.col("rng")))
+    total = lambda *c: F.sum(reduce(lambda a, b: a * b, [F.col(x) for x in ("w", *c)]))
+    sums = trials.groupBy(*keys, "rng").agg(total().alias("w"), total("u").alias("wu"), total("u", "u").alias("wuu"), total("g").alias("wg"),
+                                            total("u", "g").alias("wug"), total("g", "g").alias("wgg"))
+    det = F.col("w") * F.col("wuu") - F.col("wu") * F.col("wu")
+    flat = det <= F.lit(1e-12) * F.col("w") * F.col("wuu")            # one bin: no slope to fit
+    slope = F.when(flat, F.col("wug") / F.col("wuu") / 2).otherwise((F.col("w") * F.col("wug") - F.col("wu") * F.col("wg")) / det)
+    fit = sums.withColumn("_s", slope).withColumn("nugget", F.greatest((F.col("wg") - F.col("_s") * F.col("wu")) / F.col("w"), F.lit(1e-9))).withColumn(
+        "sill", F.greatest("_s", F.lit(1e-9)))
+    c0, c1 = F.col("nugget"), F.col("sill")
+    error = c0 * c0 * F.col("w") + 2 * c0 * c1 * F.col("wu") + c1 * c1 * F.col("wuu") - 2 * c0 * F.col("wg") - 2 * c1 * F.col("wug") + F.col("wgg")
+    best = fit.groupBy(*keys).agg(F.min_by(F.struct(*MODEL), F.struct(error, "rng")).alias("_m"))
+    return best.select(*keys, "_m.*")
+
+
+def regression_kriging(stations: DataFrame, cells: DataFrame, keys, cell_id: str, covariates, *, nugget: float | None = None, sill: float | None = None,
+                       rng: float | None = None, model: DataFrame | None = None, alpha: float = 1e-6, k_near: int = 16) -> DataFrame:
+    """Covariate regression per key plus kriged residuals."""
     from . import models
-    xs = list(covariates)
-    s, c = stations.withColumn("_f", F.lit(0)), cells.withColumn("_f", F.lit(0))
-    coef = models.ridge(s, ["_f"], xs, "value", alpha, penalise_intercept=False)
-    resid = models.linear_predict(s, coef, ["_f"], xs, "_m").withColumn("value", F.col("value") - F.col("_m"))
-    k = kriging(resid, cells, [], cell_id, nugget=nugget, sill=sill, rng=rng, k_near=k_near)
-    trend = models.linear_predict(c, coef, ["_f"], xs, "_m").select(cell_id, "_m")
-    return k.join(trend, cell_id).select(cell_id, (F.col("_m") + F.col("mean")).alias("mean"), "sd")
+    xs, keys = list(covariates), list(keys)
+    part = keys or ["nokey"]
+    s, c = (stations, cells) if keys else (stations.withColumn("nokey", F.lit(0)), cells.withColumn("nokey", F.lit(0)))
+    coef = models.ridge(s, part, xs, "value", alpha, penalise_intercept=False)
+    resid = models.linear_predict(s, coef, part, xs, "_m").withColumn("value", F.col("value") - F.col("_m"))
+    k = kriging(resid, cells, keys, cell_id, nugget=nugget, sill=sill, rng=rng, model=model, k_near=k_near)
+    trend = models.linear_predict(c, coef, part, xs, "_m").select(*keys, cell_id, "_m")
+    return null_safe(k, trend, [*keys, cell_id]).select(*keys, cell_id, (F.col("_m") + F.col("mean")).alias("mean"), "sd")

@@ -42,25 +42,78 @@ def _(spark, d):
     return spatial.variogram(stations(spark, d), [])
 
 
+CTE["vgfit"] = _PAIRS + """,
+    mx AS (SELECT quantile_cont(dd, 0.9) AS m FROM pr),
+    vg AS (SELECT (floor(dd / (m / 15)) + 0.5) * m / 15 AS h, avg(g) AS g, CAST(count(*) AS DOUBLE) AS w FROM pr CROSS JOIN mx WHERE dd < m GROUP BY floor(dd / (m / 15)), m),
+    ve AS (SELECT ln(greatest(min(h), 1e-9) / 2) AS lo, ln(max(h) * 3) AS hi FROM vg),
+    vr AS (SELECT exp(lo + i * ((hi - lo) / 59)) AS rng FROM ve, (SELECT unnest(range(60)) AS i)),
+    vs AS (SELECT rng, sum(w) AS w, sum(w * u) AS wu, sum(w * u * u) AS wuu, sum(w * g) AS wg, sum(w * u * g) AS wug, sum(w * g * g) AS wgg
+      FROM (SELECT rng, w, g, 1 - exp(-h / rng) AS u FROM vg, vr) GROUP BY 1),
+    vb AS (SELECT *, (w * wug - wu * wg) / (w * wuu - wu * wu) AS sl FROM vs),
+    vc AS (SELECT *, greatest((wg - sl * wu) / w, 1e-9) AS nugget, greatest(sl, 1e-9) AS sill FROM vb),
+    vgfit AS (SELECT nugget, sill, rng FROM vc ORDER BY nugget * nugget * w + 2 * nugget * sill * wu + sill * sill * wuu - 2 * nugget * wg - 2 * sill * wug + wgg, rng LIMIT 1)"""
+#: Ordinary kriging from three stations: the covariance matrix inverted by cofactors.
+_KRIGE3 = """,
+    near AS (SELECT * FROM (SELECT c.cell_id, s.x, s.y, {value} AS z, sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) AS dd,
+        row_number() OVER (PARTITION BY c.cell_id ORDER BY sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)), s.id) AS r FROM cells c, {stations} s) WHERE r <= 3),
+    tri AS (SELECT a.cell_id, a.z AS z1, b.z AS z2, e.z AS z3, v.sill + v.nugget AS k, v.sill * exp(-a.dd / v.rng) AS r1, v.sill * exp(-b.dd / v.rng) AS r2, v.sill * exp(-e.dd / v.rng) AS r3,
+        v.sill * exp(-sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / v.rng) AS c12, v.sill * exp(-sqrt(pow(a.x - e.x, 2) + pow(a.y - e.y, 2)) / v.rng) AS c13,
+        v.sill * exp(-sqrt(pow(b.x - e.x, 2) + pow(b.y - e.y, 2)) / v.rng) AS c23
+      FROM near a JOIN near b ON b.cell_id = a.cell_id AND b.r = 2 JOIN near e ON e.cell_id = a.cell_id AND e.r = 3, vgfit v WHERE a.r = 1),
+    inv AS (SELECT *, k * k - c23 * c23 AS i11, c13 * c23 - c12 * k AS i12, c12 * c23 - c13 * k AS i13, k * k - c13 * c13 AS i22, c12 * c13 - c23 * k AS i23, k * k - c12 * c12 AS i33,
+        k * (k * k - c23 * c23) - c12 * (c12 * k - c23 * c13) + c13 * (c12 * c23 - k * c13) AS det FROM tri),
+    sol AS (SELECT *, (i11 * r1 + i12 * r2 + i13 * r3) / det AS a1, (i12 * r1 + i22 * r2 + i23 * r3) / det AS a2, (i13 * r1 + i23 * r2 + i33 * r3) / det AS a3,
+        (i11 + i12 + i13) / det AS b1, (i12 + i22 + i23) / det AS b2, (i13 + i23 + i33) / det AS b3 FROM inv),
+    lag AS (SELECT *, (a1 + a2 + a3 - 1) / (b1 + b2 + b3) AS mu FROM sol),
+    krige AS (SELECT cell_id, (a1 - mu * b1) * z1 + (a2 - mu * b2) * z2 + (a3 - mu * b3) * z3 AS mean,
+        sqrt(greatest(k - ((a1 - mu * b1) * r1 + (a2 - mu * b2) * r2 + (a3 - mu * b3) * r3 + mu), 0)) AS sd FROM lag)"""
+
+
+def _fitted(s, keys=()):
+    return spatial.fit_variogram(spatial.variogram(s, list(keys)), list(keys))
+
+
+def _networks(df, number: str):
+    """Stations or cells of three networks, dealt by their number."""
+    return df.withColumn("network", F.expr(f"{number} div 2 % 3"))
+
+
+@query("j12_variogram_fit", with_("coords stations vgfit", "SELECT * FROM vgfit"), "6: nugget sill rng")
+def _(spark, d):
+    return _fitted(stations(spark, d))
+
+
 @query("j12_local_kriging")
 def _(spark, d):
     s = stations(spark, d)
-    return spatial.kriging(s, cells(spark, d), [], "cell_id", **spatial.fit_variogram(spatial.variogram(s, [])))
+    return spatial.kriging(s, cells(spark, d), [], "cell_id", model=_fitted(s))
+
+
+@query("j12_kriging_of_three", with_("coords stations cells vgfit", "SELECT * FROM krige").replace("\nSELECT * FROM krige", _KRIGE3.format(value="s.value", stations="stations") + "\nSELECT * FROM krige"),
+       "5: mean sd")
+def _(spark, d):
+    s = stations(spark, d)
+    return spatial.kriging(s, cells(spark, d), [], "cell_id", model=_fitted(s), k_near=3)
+
+
+@query("j12_kriging_of_networks")
+def _(spark, d):
+    s, c = _networks(stations(spark, d), "id"), _networks(cells(spark, d), "cell_id")
+    return spatial.kriging(s, c, ["network"], "cell_id", model=_fitted(s, ["network"]))
 
 
 @query("o6_regression_kriging")
 def _(spark, d):
     s = stations(spark, d)
-    return spatial.regression_kriging(s, cells(spark, d), "cell_id", ["x", "y", "cov"], **spatial.fit_variogram(spatial.variogram(s, [])))
+    return spatial.regression_kriging(s, cells(spark, d), [], "cell_id", ["x", "y", "cov"], model=_fitted(s))
 
 
 @query("c6_coordinate_interpolation")
 def _(spark, d):
     s, c = stations(spark, d), cells(spark, d)
     truth = c.select("cell_id", F.col("truth").alias("y_true"))
-    par = spatial.fit_variogram(spatial.variogram(s, []))
     a = spatial.idw(s, c, [], "cell_id").select("cell_id", F.lit("idw").alias("method"), F.col("pred").alias("y_pred"))
-    b = spatial.kriging(s, c, [], "cell_id", **par).select("cell_id", F.lit("kriging").alias("method"), F.col("mean").alias("y_pred"))
+    b = spatial.kriging(s, c, [], "cell_id", model=_fitted(s)).select("cell_id", F.lit("kriging").alias("method"), F.col("mean").alias("y_pred"))
     return metrics.table(a.unionByName(b).join(truth, "cell_id"), ["method"], ["rmse", "mae"])
 
 
