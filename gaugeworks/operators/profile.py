@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from .attach import null_safe
+from .series import CHUNK_ROWS
 
 
 def counts(df: DataFrame, by, present: dict[str, str] | None = None, distinct: dict[str, str] | None = None) -> DataFrame:
@@ -38,18 +41,37 @@ def effort_weighted(df: DataFrame, cell, count: str, effort: str) -> DataFrame:
     return df.groupBy(*cell).agg((F.sum(count) / F.sum(effort)).alias("rate"), F.sum(effort).alias("effort"))
 
 
-def gap_fill(df: DataFrame, keys, pos: str, value: str, out: str = "filled", linear: bool = False, max_gap: int = 24) -> DataFrame:
-    """Fill gaps of a dense series from the last value, or linearly, within ``max_gap`` steps."""
-    from .series import chunked
-    f = chunked(df, keys, pos, before=max_gap, after=max_gap)
-    hit = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))
-    d = f.select(_b=F.last(hit, ignorenulls=True).over(f.rows(-max_gap, 0)), _a=F.first(hit, ignorenulls=True).over(f.rows(0, max_gap)))
+def gap_fill(df: DataFrame, keys, pos: str, value: str, out: str = "filled", linear: bool = False, max_gap: int | None = None,
+             chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Fill gaps of a dense series from the last value, or linearly between the last and the next.
+
+    Chunks of ``chunk_rows`` positions run apart.  The last and first value of each
+    chunk, one row a chunk, are carried over chunks without any, so a gap may be of
+    any length.  ``max_gap`` leaves positions null that lie farther than so many steps
+    from a value used.  Before the first value (linearly: outside the first and last)
+    there is nothing to fill from.
+    """
+    keys = list(keys)
+    part = [*keys, "_chunk"]
+    d = df.withColumn("_chunk", F.floor(F.col(pos).cast("long") / chunk_rows))
+    hit = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).cast("long").alias("p"), F.col(value).alias("v")))
+    ends = d.groupBy(*part).agg(F.max(hit).alias("_last"), F.min(hit).alias("_first"))
+    order = W.partitionBy(*keys).orderBy("_chunk")
+    carry = ends.select(*part, F.last("_last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_from"),
+                        F.first("_first", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_to"))
+    here = W.partitionBy(*part).orderBy(pos)
+    d = null_safe(d, carry, part)
+    d = d.withColumn("_b", F.coalesce(F.last(hit, ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0)), F.col("_from")))
+    d = d.withColumn("_a", F.coalesce(F.first(hit, ignorenulls=True).over(here.rowsBetween(0, W.unboundedFollowing)), F.col("_to")))
+    p = F.col(pos).cast("long")
+    near = F.lit(True) if max_gap is None else p - F.col("_b.p") <= max_gap
     if linear:
-        w = (F.col(pos) - F.col("_b.p")) / (F.col("_a.p") - F.col("_b.p"))
-        fill = F.when(F.col("_a.p") > F.col("_b.p"), F.col("_b.v") + w * (F.col("_a.v") - F.col("_b.v")))
+        w = (p - F.col("_b.p")) / (F.col("_a.p") - F.col("_b.p"))
+        close = near if max_gap is None else near & (F.col("_a.p") - p <= max_gap)
+        fill = F.when(close & (F.col("_a.p") > F.col("_b.p")), F.col("_b.v") + w * (F.col("_a.v") - F.col("_b.v")))
     else:
-        fill = F.col("_b.v")
-    return d.withColumn(out, F.coalesce(F.col(value), fill)).drop("_b", "_a")
+        fill = F.when(near, F.col("_b.v"))
+    return d.withColumn(out, F.coalesce(F.col(value), fill)).drop("_b", "_a", "_from", "_to", "_chunk")
 
 
 def pca(df: DataFrame, cols, k: int):

@@ -7,6 +7,8 @@ array functions, so nothing is exploded or shuffled.  Gridded fields are long
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .attach import attach
@@ -193,12 +195,56 @@ def regrid_conservative(grid: DataFrame, keys, src: dict, dst: dict, sphere: boo
     return g.groupBy(*keys, "ty", "tx").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
 
 
+def _row_sources(ix: np.ndarray, sy: np.ndarray, iy: int, dy: float, dx: float) -> np.ndarray:
+    """For each cell of a row the place of the column whose nearest valid cell is nearest (-1 without any).
+
+    ``sy`` is the row of each column's nearest valid cell, negative where it has none; ``ix``
+    rises.  The squared distances to the columns are parabolas; their lower envelope
+    takes one step a column.  Parabolas that only touch it stay in, so ties are decided
+    by the distances themselves: least, then smaller row, then column.
+    """
+    some = np.flatnonzero(sy >= 0)
+    if not len(some):
+        return np.full(len(ix), -1)
+    x = ix[some] * dx
+    height = ((sy[some] - iy) * dy) ** 2 + x * x
+    slack = 1e-9 * (1 + np.abs(x).max())
+    on, begin = [], []
+    for q, (a, h) in enumerate(zip(x.tolist(), height.tolist())):
+        start = -np.inf
+        while on:
+            start = (h - on[-1][2]) / (2 * (a - on[-1][1]))
+            if start >= begin[-1] - slack:
+                break
+            on.pop()
+            begin.pop()
+            start = -np.inf
+        on.append((q, a, h))
+        begin.append(start)
+    places, at = some[[o[0] for o in on]], np.maximum.accumulate(begin)
+    cells = ix * dx
+    first = np.maximum(np.searchsorted(at, cells - slack, "left") - 1, 0)
+    last = np.maximum(np.searchsorted(at, cells + slack, "right") - 1, first)
+    best, rank = places[first], None
+    for step in range(int((last - first).max()) + 1):
+        c = places[np.minimum(first + step, last)]
+        gy, gx = (sy[c] - iy) * dy, (ix[c] - ix) * dx
+        now = gy * gy + gx * gx, sy[c], ix[c]
+        if rank is None:
+            best, rank = c, now
+            continue
+        less = (now[0] < rank[0]) | ((now[0] == rank[0]) & ((now[1] < rank[1]) | ((now[1] == rank[1]) & (now[2] < rank[2]))))
+        best, rank = np.where(less, c, best), tuple(np.where(less, a, b) for a, b in zip(now, rank))
+    return best
+
+
 def fill_nearest(grid: DataFrame, keys, dy: float = 1.0, dx: float = 1.0) -> DataFrame:
     """Fill missing cells from the nearest valid cell (ties: smaller row, then column).
 
     Exact and separable: the nearest valid cell up or down each column, then the
-    best over the columns of each row.  A group is one column or one row of a
-    field, never a whole field.
+    best over the columns of each row, by a lower envelope in linear time.  A group is
+    one column or one row of a field, never a whole field.  A field without a valid
+    cell stays empty.
     """
     keys = list(keys)
     col = W.partitionBy(*keys, "ix").orderBy("iy")
@@ -209,19 +255,14 @@ def fill_nearest(grid: DataFrame, keys, dy: float = 1.0, dx: float = 1.0) -> Dat
     near = F.when(F.col("_u").isNull(), F.col("_d")).when(F.col("_d").isNull(), F.col("_u")) \
         .when(F.col("iy") - F.col("_u.sy") <= F.col("_d.sy") - F.col("iy"), F.col("_u")).otherwise(F.col("_d"))
     d = d.withColumn("_s", near)
-    rows = d.groupBy(*keys, "iy").agg(F.collect_list(F.struct("ix", "value", "_s")).alias("_r"))
-    cand = F.filter("_r", lambda r: r["_s"].isNotNull())
-    rows = rows.withColumn("_c", cand)
-
-    def resolve(r):
-        def option(c):
-            gy = (c["_s"]["sy"] - F.col("iy")) * dy
-            gx = (c["ix"] - r["ix"]) * dx
-            return F.struct((gy * gy + gx * gx).alias("d2"), c["_s"]["sy"].alias("sy"), c["ix"].alias("sx"),
-                            c["_s"]["v"].alias("v"))
-
-        best = F.array_min(F.transform("_c", option))
-        return F.struct(r["ix"].alias("ix"), F.when(r["value"].isNotNull(), r["value"]).otherwise(best["v"]).alias("value"))
-
-    return (rows.select(*keys, "iy", F.explode(F.transform("_r", resolve)).alias("_o"))
-            .select(*keys, "iy", "_o.ix", "_o.value"))
+    cell = F.struct("ix", F.coalesce(F.col("_s.sy").cast("long"), F.lit(-1)).alias("sy"), F.col("_s.v").alias("v"))
+    rows = d.groupBy(*keys, "iy").agg(F.sort_array(F.collect_list(cell)).alias("_r"))
+
+    @F.pandas_udf("array<int>")
+    def sources(iy: pd.Series, ix: pd.Series, sy: pd.Series) -> pd.Series:
+        return pd.Series([_row_sources(np.asarray(x, np.int64), np.asarray(s, np.int64), int(y), dy, dx) for y, x, s in zip(iy, ix, sy)])
+
+    pick = lambda c: F.transform("_r", lambda r: r[c])
+    rows = rows.withColumn("_from", sources("iy", pick("ix"), pick("sy")))
+    filled = F.transform("_r", lambda r, i: F.struct(r["ix"].alias("ix"), F.get("_r", F.get("_from", i))["v"].alias("value")))
+    return rows.select(*keys, "iy", F.explode(filled).alias("_o")).select(*keys, "iy", "_o.ix", "_o.value")

@@ -550,10 +550,25 @@ def _(spark, d):
 
 
 @query("o9_gap_fill", with_("hourly", """SELECT station, pos, coalesce(pm25, last_value(pm25 IGNORE NULLS) OVER (PARTITION BY station ORDER BY pos ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)) AS filled FROM hourly"""))
+def _(spark, d):
+    return profile.gap_fill(hourly(spark, d), STATION, "pos", "pm25", max_gap=24).select("station", "pos", "filled")
+
+
+_BOTH_SIDES = """SELECT station, pos, pm25, max(CASE WHEN pm25 IS NOT NULL THEN pos END) OVER back AS b, min(CASE WHEN pm25 IS NOT NULL THEN pos END) OVER ahead AS a,
+    last_value(pm25 IGNORE NULLS) OVER back AS bv, first_value(pm25 IGNORE NULLS) OVER ahead AS av FROM hourly
+    WINDOW back AS (PARTITION BY station ORDER BY pos ROWS UNBOUNDED PRECEDING), ahead AS (PARTITION BY station ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+
+
+@query("o9_gap_fill_all", with_("hourly", f"SELECT station, pos, coalesce(pm25, bv) AS filled FROM ({_BOTH_SIDES})"))
 def _(spark, d):
     return profile.gap_fill(hourly(spark, d), STATION, "pos", "pm25").select("station", "pos", "filled")
 
 
+@query("o9_gap_fill_linear", with_("hourly", f"SELECT station, pos, coalesce(pm25, bv + (pos - b) / (a - b) * (av - bv)) AS filled FROM ({_BOTH_SIDES})"), "6: filled")
+def _(spark, d):
+    return profile.gap_fill(hourly(spark, d), STATION, "pos", "pm25", linear=True).select("station", "pos", "filled")
+
+
 @query("o10_effort_weighted_counts", "SELECT l_suppkey AS cell, sum(l_quantity) / sum(l_linenumber) AS rate, CAST(sum(l_linenumber) AS BIGINT) AS effort FROM lineitem GROUP BY 1", "6: rate")
 def _(spark, d):
     return profile.effort_weighted(read(spark, d, "lineitem").withColumnRenamed("l_suppkey", "cell"), ["cell"], "l_quantity", "l_linenumber")
