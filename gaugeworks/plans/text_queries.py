@@ -60,7 +60,9 @@ CTE["amarked"] = f"amarked AS MATERIALIZED (SELECT doc_id, lower(text) AS low, {
 
 
 def docs(spark, d):
-    return read(spark, d, "documents").select("doc_id", "text")
+    """Ids and texts dealt out by id: the patterns below take far longer over a text than its way through a
+    shuffle, and a file of one row group, however large, would be one task."""
+    return read(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
 
 
 def _spans_sql(cte, words, names):
