@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stats import normal_z
+from . import models
 from .attach import attach
 from .ordered import HOT_ROWS, order_statistic
 
@@ -48,6 +51,26 @@ def residual_scale(resid: DataFrame, keys) -> DataFrame:
     return resid.groupBy(*keys).agg(F.stddev_samp(r).alias("sigma_hat"), F.avg(F.abs(r)).alias("mean_abs"))
 
 
+def ridge_with_scale(train: DataFrame, rows: DataFrame, keys, xs, y: str, lam: float = 1.0) -> DataFrame:
+    """``rows`` with ``y_pred`` and ``sigma`` from two ridge fits on ``train`` per key.
+
+    The second fit is of the absolute residuals of the first on the same design; its
+    prediction is the scale, never below ``FLOOR_SHARE`` of their mean, so bands can be
+    wider where residuals are larger and stay positive.  Keys without training rows
+    have no predictions.
+    """
+    keys, xs = list(keys), list(xs)
+    first = models.ridge(train, keys, xs, y, lam, penalise_intercept=False)
+    resid = models.linear_predict(train, first, keys, xs, "_p").withColumn("_abs", F.abs(F.col(y) - F.col("_p")))
+    second = models.ridge(resid, keys, xs, "_abs", lam, penalise_intercept=False)
+    floor = resid.groupBy(*keys).agg((F.lit(FLOOR_SHARE) * (F.avg("_abs") + 1e-12)).alias("_floor"))
+    coef = attach(attach(first.select(*keys, F.col("beta").alias("_b1")), second.select(*keys, F.col("beta").alias("_b2")), keys), floor, keys)
+
+    def dot(beta: str):
+        return reduce(lambda a, i: a + F.element_at(beta, i + 2) * F.col(xs[i]), range(len(xs)), F.element_at(beta, 1))
+    return attach(rows, coef, keys).withColumn("y_pred", dot("_b1")).withColumn("sigma", F.greatest(dot("_b2"), "_floor")).drop("_b1", "_b2", "_floor")
+
+
 def normal_theory(test: DataFrame, scale: DataFrame, keys, levels) -> DataFrame:
     """y_pred +- z * sigma_hat, one row per level."""
     lv = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("level"), F.lit(normal_z(v)).alias("z")) for v in levels]))

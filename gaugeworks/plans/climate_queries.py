@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extremes, forecast, hier, hydro, intervals, metrics, models, profile, score, splits, trend
+from ..session import store
 from .base import (CTE, GAUGE, KEY, STATION, catchment, catchment_roled, daily, hourly, hourly_roled, observations, query,
                    read, roled, sql_two_sided_p, with_)
 
@@ -352,6 +353,79 @@ def _(spark, d):
     return intervals.mean_gap(a.unionByName(b.withColumn("method", F.lit("normal"))), ["method"])
 
 
+# ------------------------------------------------------------------ ridge forecaster with a fitted residual scale
+
+_LAGS = [f"value_lag{i}" for i in range(1, 8)]
+
+
+def _ridge_sql(out: str, src: str, key: str, xs, y: str, lam: float) -> str:
+    """CTEs that end in ``out`` (key, b0, b1, ...): a ridge fit with free intercept by elimination on the centred moments."""
+    k = len(xs)
+    cells = [f"covar_pop({xs[i]}, {xs[j]}) * count(*)" + (f" + {lam}" if i == j else "") + f" AS a{i}_{j}" for i in range(k) for j in range(k)]
+    rhs = [f"covar_pop({x}, {y}) * count(*) AS a{i}_{k}" for i, x in enumerate(xs)]
+    means = [f"avg({x}) AS m{i}" for i, x in enumerate(xs)] + [f"avg({y}) AS my"]
+    steps = [f"{out}_0 AS (SELECT {key}, {', '.join(cells + rhs + means)} FROM {src} GROUP BY 1)"]
+    for p in range(k):
+        new = [f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} AS a{i}_{j}" for i in range(k) if i != p for j in range(p + 1, k + 1)]
+        steps.append(f"{out}_{p + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM {out}_{p})")
+    beta = [f"a{i}_{k} / a{i}_{i}" for i in range(k)]
+    centre = " - ".join(["my", *[f"{b} * m{i}" for i, b in enumerate(beta)]])
+    steps.append(f"{out} AS (SELECT {key}, {centre} AS b0, {', '.join(f'{b} AS b{i + 1}' for i, b in enumerate(beta))} FROM {out}_{k})")
+    return ",\n".join(steps)
+
+
+_DOT = " + ".join(["b0", *[f"b{i + 1} * {x}" for i, x in enumerate(_LAGS)]])
+CTE["ridge"] = ("lagf AS (SELECT * FROM (SELECT series_id, pos, role, value AS y_true, " + ", ".join(f"lag(value, {i}) OVER w AS value_lag{i}" for i in range(1, 8))
+                + " FROM roled WINDOW w AS (PARTITION BY series_id, role ORDER BY pos)) WHERE value_lag7 IS NOT NULL),\n"
+                + "ltrain AS (SELECT * FROM lagf WHERE role = 'train'),\n" + _ridge_sql("rfit", "ltrain", "series_id", _LAGS, "y_true", 1.0)
+                + f",\nlres AS (SELECT l.*, abs(y_true - ({_DOT})) AS ar FROM ltrain l JOIN rfit USING (series_id)),\n"
+                + _ridge_sql("sfit", "lres", "series_id", _LAGS, "ar", 1.0)
+                + f""",
+rfloor AS (SELECT series_id, 0.1 * (avg(ar) + 1e-12) AS fl, stddev_samp(y_pred_r) AS sigma_hat FROM (SELECT r.series_id, ar, y_true - ({_DOT}) AS y_pred_r FROM lres r JOIN rfit USING (series_id)) GROUP BY 1),
+rp0 AS (SELECT l.*, {_DOT} AS y_pred FROM lagf l JOIN rfit USING (series_id)),
+rp AS (SELECT r.series_id, pos, role, y_true, y_pred, greatest({_DOT}, fl) AS sigma FROM rp0 r JOIN sfit USING (series_id) JOIN rfloor USING (series_id))""")
+
+
+def ridge_predictions(spark, d):
+    f = splits_frame(spark, d)
+    return intervals.ridge_with_scale(f.filter("role = 'train'"), f, KEY, _LAGS, "value").withColumnRenamed("value", "y_true")
+
+
+@query("i6_ridge_coefficients", with_("daily roled ridge", "SELECT series_id, " + ", ".join(f"b{i}" for i in range(8)) + " FROM rfit"), "2: b0; 5: " + " ".join(f"b{i}" for i in range(1, 8)))
+def _(spark, d):
+    c = models.ridge(splits_frame(spark, d).filter("role = 'train'"), KEY, _LAGS, "value", 1.0, penalise_intercept=False)
+    return c.select("series_id", *[F.element_at("beta", i + 1).alias(f"b{i}") for i in range(8)])
+
+
+@query("i6_residual_scale", with_("daily roled ridge", "SELECT series_id, pos, y_pred, sigma FROM rp"), "1: y_pred sigma")
+def _(spark, d):
+    return ridge_predictions(spark, d).select("series_id", "pos", "y_pred", "sigma")
+
+
+def _bands_sql(score: str, half: str) -> str:
+    """Coverage of conformal bands: the rank of the level among the calibration scores, +infinity beyond them."""
+    return f"""{_COV} FROM (SELECT t.series_id, level, y_true, y_pred - q * {half} AS lower, y_pred + q * {half} AS upper FROM rp t JOIN (
+      SELECT series_id, level, coalesce(s[CAST(ceil((len(s) + 1) * level) AS BIGINT)], 'Infinity'::DOUBLE) AS q FROM (
+        SELECT series_id, list({score} ORDER BY {score}) AS s FROM rp WHERE role = 'val' GROUP BY 1), (SELECT unnest([0.8::DOUBLE, 0.9, 0.95]) AS level)) USING (series_id)
+      WHERE role = 'test') GROUP BY 1, 2"""
+
+
+@query("c11_ridge_intervals", with_("daily roled ridge", f"""SELECT method, series_id, level, coverage, width, gap FROM (
+    SELECT 'split' AS method, * FROM ({_bands_sql("abs(y_true - y_pred)", "1")}) UNION ALL
+    SELECT 'normalized', * FROM ({_bands_sql("abs(y_true - y_pred) / sigma", "sigma")}) UNION ALL
+    SELECT 'normal', * FROM ({_COV} FROM (SELECT series_id, level, y_true, y_pred - z * sigma_hat AS lower, y_pred + z * sigma_hat AS upper FROM rp JOIN rfloor USING (series_id),
+      (SELECT unnest([0.8::DOUBLE, 0.9, 0.95]) AS level, unnest([1.2815515655446008::DOUBLE, 1.6448536269514722, 1.959963984540054]) AS z) WHERE role = 'test') GROUP BY 1, 2))"""),
+       "6: coverage gap; 1: width")
+def _(spark, d):
+    """One ridge forecaster, three bands: constant width, width by the fitted residual scale, normal theory."""
+    x = store(ridge_predictions(spark, d).select("series_id", "pos", "role", "y_true", "y_pred", "sigma"), "ridge")   # read by all three
+    val, test = x.filter("role = 'val'"), x.filter("role = 'test'")
+    bands = {"split": intervals.split_conformal(val, test, KEY, _LV), "normalized": intervals.normalized_conformal(val, test, KEY, _LV, "sigma"),
+             "normal": intervals.normal_theory(test, intervals.residual_scale(x.filter("role = 'train'"), KEY), KEY, _LV)}
+    parts = [intervals.coverage(b, KEY).select(F.lit(m).alias("method"), "series_id", "level", "coverage", "width", "gap") for m, b in bands.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ================================================================== hierarchy
 
 CTE["suff"] = "suff AS (SELECT network, station, count(value) AS n, avg(value) AS ybar, coalesce(var_samp(value), 0) AS svar FROM obs GROUP BY 1, 2)"
