@@ -3,7 +3,7 @@
 Paragraphs pass points (one each, one per comma, up to three for length) to the
 elements above them, less with every level; an element's points are discounted by
 its share of text in links.  The best element is the core.  If it lies in an article
-element, that one and its worthy siblings are kept.  Otherwise the container is the
+element, that one, articles beside it and other worthy siblings are kept.  Otherwise the container is the
 main element or else the nearest one named as content, or else the core's parent;
 it is kept with all its parts that are not mostly links.  What is no article goes
 in any case: menus, headers, footers, side bars, notices, adverts, forms, reader
@@ -24,9 +24,12 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|[^>]*+(?:>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none")
 _WORDS = re.compile(r"[a-z]+")
+#: A form that holds these up to the next form tag is a frame round the page.
+_FORM_EDGE = re.compile(r"</?form\b", re.I)
+_FRAMED = re.compile(r"<(?:article|main)\b|\bid\s*=\s*[\"']?(?:content|main|article)\b|(?:<p\b.*?){3}", re.I | re.S)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
@@ -61,6 +64,32 @@ class _Node:
         self.depth = 0 if parent is None else parent.depth + 1
 
 
+#: Class names that only say how a page is laid out.
+STATES = ("no", "has", "is", "with", "without", "not"), ("open", "closed", "enabled", "disabled", "count", "on", "off")
+#: Elements of running text; only a whole class name out of these marks one as no article.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption li td".split())
+MARKED_ALONE = frozenset(("ad ads advert adverts advertisement advertisements advertising sponsor sponsored cookie cookies notice breadcrumb breadcrumbs comment comments "
+                          "reply replies newsletter share sharing pager pagination copyright skip").split())
+
+
+def _marks(names: list[str]) -> tuple[bool, bool, bool]:
+    """Whether class and id names say no article, maybe none, or content.
+
+    A name counts by its first or last word ("comment-list", "post-comments"); names of a
+    state ("no-comments", "comments-open", "has-sidebar") do not count.
+    """
+    marked = weak = content = False
+    for name in names:
+        words = _WORDS.findall(name)
+        if not words or words[0] in STATES[0] or (len(words) > 1 and words[-1] in STATES[1]):
+            continue
+        ends = {words[0], words[-1]}
+        marked |= bool(ends & MARKED)
+        weak |= bool(ends & WEAK)
+        content |= bool(set(words) & CONTENT)
+    return marked, weak, content
+
+
 def _look(tag: str, attrs: str) -> tuple[bool, int]:
     """Whether an element is no article by its name and attributes, and a bonus for those that say they are."""
     bonus = {"article": 25, "main": 20}.get(tag, 0)
@@ -68,21 +97,24 @@ def _look(tag: str, attrs: str) -> tuple[bool, int]:
         return True, 0
     if not attrs or attrs.isspace():
         return False, bonus
-    if _HIDDEN.search(attrs):
-        return True, 0
-    words, role = set(), ""
+    names, role = [], ""
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and _UNSEEN.search(value)):
+            return True, 0
         if name in ("class", "id"):
-            words.update(_WORDS.findall(value))
+            names += value.split()
         elif name == "role":
             role = value
+    if tag in RUNNING:
+        return bool(MARKED_ALONE.intersection(names)), 0
+    marked, weak, content = _marks(names)
     if tag not in ("body", "html", "article", "main"):
-        if role in ROLES or words & MARKED or (words & WEAK and not words & CONTENT):
+        if role in ROLES or (marked and not {"content", "main", "article"}.intersection(names)) or (weak and not content):
             return True, 0
-    elif tag == "article" and words & {"comment", "comments", "reply"}:
+    elif tag == "article" and {"comment", "comments", "reply"}.intersection(names):
         return True, 0
-    return False, bonus + (15 if words & CONTENT else 0)
+    return False, bonus + (15 if content else 0)
 
 
 def _blocks(page: str) -> list[tuple[str, int, _Node]]:
@@ -173,6 +205,9 @@ def _blocks(page: str) -> list[tuple[str, int, _Node]]:
             continue
         top = stack[-1]
         out, hint = (True, 0) if top.out else _look(tag, m["attrs"])
+        if tag == "form" and not top.out:
+            edge = _FORM_EDGE.search(page, at)
+            out = _FRAMED.search(page, at, edge.start() if edge else size) is None
         if tag == "header" and not top.out:
             out = not any(n.tag in ("article", "main") for n in stack[-4:])
         above = top if top.tag in BLOCK or top.parent is None else top.parent  # inline elements hold no others
@@ -243,7 +278,7 @@ def extract(page: str | None) -> str:
     kept = {id(best)}
     for n in nodes:
         if n.parent is best.parent and n is not best and best.parent is not None:
-            if n.points * (1 - _share(n)) >= max(3.0, 0.2 * worth):
+            if n.points * (1 - _share(n)) >= max(3.0, 0.2 * worth) or (n.tag == best.tag == "article" and n.linked * 2 <= n.chars):
                 kept.add(id(n))
     container = None if best.tag == "article" else _container(best)
     path = set()

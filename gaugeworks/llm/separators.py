@@ -35,7 +35,7 @@ def _name(file: int) -> str:
 
 def _write(batches, folder: str, path: str, spaced: bool, folded: bool, end: int, width: int):
     files, root = _open(folder)
-    enc, file, ordinal = encoder(path, spaced, folded), TaskContext.get().partitionId(), 0
+    enc, file, ordinal = encoder(path, spaced, folded, special=False), TaskContext.get().partitionId(), 0
     files.create_dir(root, recursive=True)
     own = f"{root}/_{uuid.uuid4().hex}"  # renamed once whole, so a repeated task replaces the file by the same one
     with files.open_output_stream(own) as sink:

@@ -8,6 +8,7 @@ bounded and starts anew when full.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,17 @@ class Encoder:
 
     ``spaced``: the vocabulary keeps a space with the word after it (byte-level);
     otherwise white space only separates words and ``folded`` says that A-Z are
-    taken as a-z.
+    taken as a-z.  ``special``: the string of a special token in a text becomes its id, as
+    the library does by itself; else it is spelled out in ordinary pieces.
     """
 
-    def __init__(self, path: str, spaced: bool, folded: bool):
+    def __init__(self, path: str, spaced: bool, folded: bool, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens, self.whole.encode_special_tokens = True, not special
+        strings = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special]
+        self.special = "|".join(map(re.escape, strings)) if special else ""
         self.spaced, self.folded = spaced, folded
         self._clear()
 
@@ -93,11 +97,9 @@ class Encoder:
         if len(self.rows) > MAX_PIECES:
             self._clear()
         uneven = np.zeros(len(texts), bool)
-        if self.spaced:
-            uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
-            plain = pc.if_else(pa.array(uneven), "", texts)
-        else:
-            plain = texts
+        for pattern in filter(None, (UNEVEN if self.spaced else "", self.special)):
+            uneven = uneven | pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(uneven), "", texts) if uneven.any() else texts
         parts = pc.split_pattern(plain, " ")
         pieces, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
@@ -117,7 +119,7 @@ class Encoder:
         count = np.diff(ends)
         if uneven.any():
             where = np.flatnonzero(uneven)
-            whole = self._ids([texts[int(i)].as_py() for i in where])
+            whole = [e.ids for e in self.whole.encode_batch_fast([texts[int(i)].as_py() for i in where], add_special_tokens=False)]
             cut = np.split(ids, ends[1:-1])
             for i, x in zip(where, whole):
                 cut[i] = np.asarray(x, np.uint32)
@@ -135,9 +137,9 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaced: bool, folded: bool) -> Encoder:
+def encoder(path: str, spaced: bool, folded: bool, special: bool = True) -> Encoder:
     """One encoder per worker and vocabulary; workers are reused between tasks."""
-    key = (path, spaced, folded)
+    key = (path, spaced, folded, special)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(*key)

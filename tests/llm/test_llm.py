@@ -1,5 +1,6 @@
 """Each operator against a plain version, on edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import functools
 import random
 import zlib
 
@@ -34,9 +35,13 @@ def none(spark):
     return spark.createDataFrame([], COLUMNS)
 
 
+@functools.cache
+def tokenizer(file):
+    return Tokenizer.from_file(vocab.vocabulary(file))
+
+
 def ids_of(text, file, end):
-    t = Tokenizer.from_file(vocab.vocabulary(file))
-    t.encode_special_tokens = True
+    t = tokenizer(file)
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -62,6 +67,18 @@ def test_dictionary_gives_the_tokenizers_ids(file, spaced):
     assert count.tolist() == [len(w) for w in want] and np.array_equal(ids, np.concatenate(want))
 
 
+def test_special_strings_can_be_spelled_out():
+    import pyarrow as pa
+    path = vocab.vocabulary("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    special = [x.content for x in t.get_added_tokens_decoder().values() if x.special][0]
+    text = f"one {special} two"
+    t.encode_special_tokens = True
+    assert vocab.Encoder(path, True, False, special=False).encode(pa.array([text]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    t.encode_special_tokens = False
+    assert vocab.Encoder(path, True, False).encode(pa.array([text]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs, none):
     folder = shared_dir(spark, "t")
     token_files.write_ids(docs, folder)
@@ -230,6 +247,31 @@ def test_passages(spark, none):
     assert passages.shared_passages(none).count() == 0
 
 
+LINE = "The river ran past the old mill, and the stones were cold, he wrote, in the winter of that year."
+BODY = f"<h1>Title</h1><p>{LINE}</p><p>{LINE}</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<article class="post comments-open">{BODY}</article>', f'<div id="content" class="no-comments">{BODY}</div>', f'<main><div class="has-sidebar">{BODY}</div></main>',
+    f'<main><div title="the hidden gem">{BODY}</div></main>', f'<form id="page"><input name="q"><article>{BODY}</article></form>',
+    f'<article>{BODY}</article><div class="post-comments"><p>{LINE}</p></div><form><p>{LINE}</p></form><div hidden><p>{LINE}</p></div><div style="display: none"><p>{LINE}</p></div>'
+    f'<ul class="comment-list"><li>{LINE}</li></ul><div aria-hidden="true">{LINE}</div>'])
+def test_articles_by_whole_names(page):
+    assert article.extract(page).split("\n") == ["Title", LINE, LINE]
+
+
+def test_articles_keep_marked_paragraphs_and_short_neighbours():
+    page = f'<main><article>{BODY}<p class="promoted">One.</p><p class="dialog-share">Two.</p></article><article><p>Three.</p></article></main>'
+    assert article.extract(page).split("\n") == ["Title", LINE, LINE, "One.", "Two.", "Three."]
+
+
+def test_articles_of_no_pages_and_clashing_columns(spark):
+    schema = "page_id long, url string, html string, text string, n_chars int"
+    assert article.extract_articles(spark.createDataFrame([], schema)).count() == 0
+    got = article.extract_articles(spark.createDataFrame([(1, "u", f"<main>{BODY}</main>", "x", 3), (None, None, None, None, None)], schema)).collect()
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == [("1", len(f"Title\n{LINE}\n{LINE}")), ("None", 0)]
+
+
 def test_articles_keep_all_sections():
     long = "One, two, three, and a sentence that is long enough to count, with more words so that it has points, and then some."
     brief = "A section with one paragraph, of some hundred and fifty characters, which has few points of its own beside a section of twelve paragraphs in it."
@@ -294,21 +336,3 @@ def test_pipeline_on_small_tables(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
-
-
-def test_model_queries_fit_library_defaults(spark, monkeypatch):
-    from gaugeworks.operators import models
-    from gaugeworks.plans import model_queries
-    asked = []
-
-    def stop(*args, **more):
-        asked.append(more)
-        raise InterruptedError
-
-    runs = {"rf_regress": lambda: model_queries._surface(spark, SF, models.rf_regress), "gbt_regress": lambda: model_queries._nowcast(spark, SF, []),
-            "rf_classify": lambda: model_queries._landcover(spark, SF), "gbt_calibrated": lambda: model_queries._boosted(spark, SF)}
-    for name, run in runs.items():
-        monkeypatch.setattr(models, name, stop)
-        with pytest.raises(InterruptedError):
-            run()
-    assert len(asked) == 4 and not any({"trees", "depth"} & set(more) for more in asked)
