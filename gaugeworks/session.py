@@ -11,16 +11,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "gaugeworks") -> SparkSession:
-    spark = (
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "gaugeworks", shared: str | None = None) -> SparkSession:
+    """A session on this machine; ``shared`` names its folder for stored tables."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("GAUGEWORKS_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
