@@ -80,8 +80,16 @@ REGISTRY = {"rmse": rmse, "mae": mae, "bias": bias, "mape": mape, "r2": r2, "nse
 HIGHER_IS_BETTER = {"r2", "nse", "kge", "acc"}
 
 
-def primary(name: str) -> Column:
-    """Aggregate for a configured primary metric."""
+def skill_vs_persistence(t: Column, p: Column, ref: Column) -> Column:
+    """Skill of the root mean squared error against that of a reference prediction."""
+    return skill(rmse(t, p), rmse(t, ref))
+
+
+def primary(name: str, reference: str = "reference_pred") -> Column:
+    """Aggregate for a configured primary metric; ``skill_vs_persistence`` also reads the ``reference`` column."""
+    t, p = F.col("y_true"), F.col("y_pred")
+    if name == "skill_vs_persistence":
+        return skill_vs_persistence(t, p, F.col(reference))
     if name not in REGISTRY:
-        raise ValueError(f"unknown metric {name!r}; one of {sorted(REGISTRY)}")
-    return REGISTRY[name](F.col("y_true"), F.col("y_pred"))
+        raise ValueError(f"unknown metric {name!r}; one of {sorted([*REGISTRY, 'skill_vs_persistence'])}")
+    return REGISTRY[name](t, p)

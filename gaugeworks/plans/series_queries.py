@@ -396,6 +396,17 @@ def _(spark, d):
     return f.select("series_id", "pos", "fold_id", "role", F.lit("x").alias("tag"))
 
 
+@query("f4_skill_vs_persistence", with_("daily roled", """SELECT series_id, 1 - sqrt(avg(pow(value - s, 2))) / (sqrt(avg(pow(value - p, 2))) + 1e-12) AS skill, count(*) AS n FROM (
+    SELECT series_id, role, value, lag(value, 1) OVER w AS p, lag(value, 7) OVER w AS s FROM roled WINDOW w AS (PARTITION BY series_id ORDER BY pos))
+    WHERE role = 'test' AND s IS NOT NULL GROUP BY 1"""), "6: skill")
+def _(spark, d):
+    """A weekly naive forecast scored against the last value."""
+    from ..functions.skill import primary
+    f = lag_columns(roled(spark, d), KEY, "pos", {"reference_pred": ("value", 1), "y_pred": ("value", 7)})
+    f = f.filter("role = 'test' AND y_pred IS NOT NULL").withColumnRenamed("value", "y_true")
+    return f.groupBy(*KEY).agg(primary("skill_vs_persistence").alias("skill"), F.count(F.lit(1)).alias("n"))
+
+
 @query("f4_primary_metric", """SELECT l_returnflag AS key, sqrt(avg(pow(l_extendedprice / 1000.0 - l_quantity * 1.5, 2))) AS rmse,
     avg(abs(l_extendedprice / 1000.0 - l_quantity * 1.5)) AS mae FROM lineitem GROUP BY 1""", "6: rmse mae")
 def _(spark, d):
