@@ -82,9 +82,14 @@ def test_mann_kendall_of_split_keys_equals_that_of_whole_ones(table):
     assert pairs["few"] == (1, 1) and pairs["one"] == (0, 0) and pairs["flat"] == (260 * 259 // 2, 0)
 
 
-def test_slopes_of_split_keys(spark):
-    t, y = (c[:650] for c in SERIES["tied"])
-    rows = [(None, float(a), float(b)) for a, b in zip(t, y)] + [("few", 0.0, 1.0), ("few", 2.0, 2.0), ("one", 1.0, 1.0), ("few", None, 4.0), (None, 3.0, None)]
-    df = spark.createDataFrame(rows, "k string, t double, y double").repartition(4)
-    got = {r["k"]: r["sen_slope"] for r in trend.sen_slope(df, ["k"], "t", "y", 610).collect()}
-    assert got == {None: pytest.approx(np.median(_slopes(t, y)), rel=1e-14, abs=1e-300), "few": 0.5}
+def test_slopes_settled_over_the_bits(spark, monkeypatch):
+    """The path of keys larger than a task, on small ones."""
+    monkeypatch.setattr(inversions, "TRIAL_BITS", 8)      # fewer passes
+    data = {None: "tied", "h": "heavy", "flat": "flat"}
+    rows = [(k, float(a), float(b)) for k, name in data.items() for a, b in zip(*(c[:24] for c in SERIES[name]))] + [("one", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t double, y double")
+    got = {r["k"]: r["s"] for r in inversions._large(df, ["k"], 0.5, "s", 10_000).collect()}
+    assert got.keys() == data.keys()
+    for k in data:
+        t, y = (np.array([r[i] for r in rows if r[0] == k]) for i in (1, 2))
+        assert got[k] == pytest.approx(np.median(_slopes(t, y)), rel=1e-14, abs=1e-300), k
