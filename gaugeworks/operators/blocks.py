@@ -9,11 +9,9 @@ definition asks for stays; the quadratic shuffle and output do not.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..session import store
 from .attach import attach, null_safe
 
 BLOCK_ROWS = 2_048
@@ -33,6 +31,20 @@ def pack(df: DataFrame, keys, cols, id_col: str, block_rows: int = BLOCK_ROWS, p
     return packed.select(*keys, nblk, blk, *[F.transform("_rows", _field(c)).alias(f"{prefix}{c}") for c in cols])
 
 
+def tasks(df: DataFrame) -> int:
+    """Number of tasks for block pairs: their bytes say nothing about their work, so Spark may not merge them."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def _meet(left: DataFrame, right: DataFrame, keys, numbers) -> DataFrame:
+    """Join on keys and block numbers, spread over :func:`tasks`."""
+    n = tasks(left)
+    if keys:
+        return null_safe(left, right, keys + numbers).repartition(n, *keys, *numbers)
+    return left.repartition(n, *numbers).join(right.repartition(n, *numbers), numbers)
+
+
 def self_pairs(packed: DataFrame, keys) -> DataFrame:
     """Every unordered pair of blocks of a key once (a block also with itself).
 
@@ -41,13 +53,13 @@ def self_pairs(packed: DataFrame, keys) -> DataFrame:
     keys = list(keys)
     cols = [c for c in packed.columns if c not in keys + ["blk", "nblk"]]
     both = [F.col(c).alias(f"{p}_{c}") for p in ("a", "b") for c in cols]
-    own = packed.select(*keys, "nblk", F.col("blk").alias("i"), F.col("blk").alias("j"), *both)
+    own = packed.select(*keys, "nblk", F.col("blk").alias("i"), F.col("blk").alias("j"), *both).repartition(tasks(packed), *keys, "i")
     other = packed.filter("nblk > 1").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nblk") - 1)))
     left = other.filter(F.col("blk") < F.col("_o")).select(
         *keys, "nblk", F.col("blk").alias("i"), F.col("_o").alias("j"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = other.filter(F.col("blk") > F.col("_o")).select(
         *keys, F.col("_o").alias("i"), F.col("blk").alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    return own.unionByName(null_safe(left, right, keys + ["i", "j"]))
+    return own.unionByName(_meet(left, right, keys, ["i", "j"]))
 
 
 def cross_pairs(left: DataFrame, right: DataFrame, keys, lp: str = "a_", rp: str = "b_") -> DataFrame:
@@ -58,7 +70,7 @@ def cross_pairs(left: DataFrame, right: DataFrame, keys, lp: str = "a_", rp: str
     rn = right.groupBy(*keys).agg(F.max(f"{rp}nblk").alias("_rn"))
     l = attach(left, rn, keys).withColumn(f"{rp}blk", F.explode(F.sequence(zero, F.col("_rn") - 1))).drop("_rn", f"{lp}nblk")
     r = attach(right, ln, keys).withColumn(f"{lp}blk", F.explode(F.sequence(zero, F.col("_ln") - 1))).drop("_ln", f"{rp}nblk")
-    return null_safe(l, r, keys + [f"{lp}blk", f"{rp}blk"])
+    return _meet(l, r, keys, [f"{lp}blk", f"{rp}blk"])
 
 
 def reduce_pairs(pairs: DataFrame, keep, kernel, schema) -> DataFrame:
@@ -82,92 +94,3 @@ def reduce_pairs(pairs: DataFrame, keep, kernel, schema) -> DataFrame:
                     yield pd.DataFrame({**{k: [getattr(row, k)] * size for k in keep}, **got})[names]
 
     return pairs.mapInPandas(run, out_schema)
-
-
-def _tile_values(row, fn, same: bool):
-    """Yield ``fn`` over sub-tiles of one block pair; for a block with itself the upper triangle."""
-    a = {k[2:]: np.asarray(getattr(row, k), dtype=float) for k in row._fields if k.startswith("a_")}
-    b = {k[2:]: np.asarray(getattr(row, k), dtype=float) for k in row._fields if k.startswith("b_")}
-    n = len(next(iter(a.values())))
-    for s in range(0, n, 512):
-        part = {k: v[s:s + 512, None] for k, v in a.items()}
-        vals, ok = fn(part, {k: v[None, :] for k, v in b.items()})
-        if same:
-            upper = np.arange(len(next(iter(b.values()))))[None, :] > np.arange(s, min(s + 512, n))[:, None]
-            ok = ok & upper
-        yield vals, ok
-
-
-def pair_values(row, fn):
-    """All values of ``fn`` over one block pair as a flat array (one block pair only)."""
-    out = [np.broadcast_to(v, ok.shape)[ok] for v, ok in _tile_values(row, fn, row.i == row.j)]
-    return np.concatenate(out) if out else np.empty(0)
-
-
-#: Bits of a value that remain after each pass of ``pair_quantile``: twelve more are settled each time.
-SHIFTS = (52, 40, 28, 16, 4, 0)
-_LOW_BITS = np.int64(0x7FFF_FFFF_FFFF_FFFF)
-
-
-def _image(v: np.ndarray) -> np.ndarray:
-    """The integers whose order is that of the doubles (its own inverse, apart from -0)."""
-    b = (np.asarray(v, float) + 0.0).view(np.int64)
-    return b ^ ((b >> 63) & _LOW_BITS)
-
-
-def pair_quantile(packed: DataFrame, keys, fn, prob: float, out: str) -> DataFrame:
-    """Exact ``prob`` quantile (linear interpolation) of ``fn`` over all row pairs of a key.
-
-    Keys that fit in one block are answered inside their task.  For larger keys
-    the bits of the two neighbouring order statistics are settled from the top,
-    at most 4 096 counts a key and pass, in six passes whatever the values.
-    The blocks and the state after each pass are tables in the shared folder.
-    """
-    keys = list(keys)
-
-    def small(row):
-        v = pair_values(row, fn)
-        return {out: [float(np.quantile(v, prob))]} if v.size else None
-
-    answer = reduce_pairs(self_pairs(packed.filter("nblk = 1"), keys), keys, small, f"{out} double")
-    if not packed.filter("nblk > 1").limit(1).collect():
-        return answer
-    big = self_pairs(store(packed.filter("nblk > 1"), "pair-blocks"), keys)
-
-    def top_bits(row):
-        bins, c = np.unique(_image(pair_values(row, fn)) >> SHIFTS[0], return_counts=True)
-        return {"bin": bins, "c": c}
-
-    def more_bits(before, shift):
-        def run(row):
-            x = _image(pair_values(row, fn))
-            bins, c = np.unique(x[x >> before == row.prefix] >> shift, return_counts=True)
-            return {"bin": bins, "c": c}
-        return run
-
-    w_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    counts = reduce_pairs(big, keys, top_bits, "bin long, c long").groupBy(*keys, "bin").agg(F.sum("c").alias("c"))
-    h = (F.sum("c").over(w_key) - 1) * F.lit(float(prob))
-    bins = counts.select(*keys, "bin", "c", h.alias("h")).select(
-        "*", F.lit(0).cast("long").alias("below"), F.posexplode(F.array(F.floor("h"), F.ceil("h"))).alias("side", "idx"))
-    big = big.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    state = None
-    ks = keys + ["side", "idx", "h", "below"]
-    for before, shift in zip((None, *SHIFTS), SHIFTS):
-        if before is not None:
-            rows = null_safe(big, state, keys + ["side"])
-            bins = reduce_pairs(rows, ks, more_bits(before, shift), "bin long, c long").groupBy(*ks, "bin").agg(F.sum("c").alias("c"))
-        w = W.partitionBy(*ks).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)   # at most 4 096 rows
-        cum = bins.withColumn("cum", F.sum("c").over(w) + F.col("below"))
-        hit = (F.col("cum") - F.col("c") <= F.col("idx")) & (F.col("idx") < F.col("cum"))
-        state = store(cum.filter(hit).select(*keys, "side", "idx", "h", (F.col("cum") - F.col("c")).alias("below"), F.col("bin").alias("prefix")), "pair-bits")
-
-    def value(rows):
-        for pdf in rows:
-            x = pdf["prefix"].to_numpy(np.int64)
-            yield pdf.assign(v=(x ^ ((x >> 63) & _LOW_BITS)).view(float))[found.names]
-
-    ends = state.select(*keys, "side", "h", "prefix")
-    found = T.StructType([*ends.schema.fields, T.StructField("v", T.DoubleType())])
-    pair = ends.mapInPandas(value, found).groupBy(*keys, "h").agg(F.min_by("v", "side").alias("v0"), F.max_by("v", "side").alias("v1"))
-    return answer.unionByName(pair.select(*keys, (F.col("v0") + (F.col("h") - F.floor("h")) * (F.col("v1") - F.col("v0"))).alias(out)))
