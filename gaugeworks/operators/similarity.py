@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from . import blocks
 from .attach import attach
 
-BLOCK_ROWS = 1_024
+#: Block pairs shuffle every vector once per block of the other side, so blocks are large and the kernel takes PART queries at a time.
+BLOCK_ROWS, PART = 8_192, 256
 
 
 def standardize_arrays(train: DataFrame, df: DataFrame, col: str, eps: float = 1e-8) -> DataFrame:
@@ -46,11 +47,21 @@ def knn(train: DataFrame, test: DataFrame, id_col: str, vec: str, k: int, block_
         B = np.asarray(getattr(row, "b_" + vec), float).reshape(len(bid), -1)
         order = np.argsort(bid, kind="stable")
         B, bid = B[order], bid[order]
-        d2 = np.maximum((A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T, 0.0)
-        d = np.round(np.sqrt(d2), 8)   # the same order in every block and in the final cut
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return {"query": np.repeat(aid, top.shape[1]), "neighbour": bid[top].ravel(),
-                "d": np.take_along_axis(d, top, axis=1).ravel()}
+        sq, q, n, near = (B * B).sum(1), [], [], []
+        for i in range(0, len(A), PART):
+            part = A[i:i + PART]
+            d2 = np.maximum((part * part).sum(1)[:, None] + sq[None, :] - 2.0 * part @ B.T, 0.0)
+            d2[np.isnan(d2)] = np.inf
+            d = np.round(np.sqrt(d2), 8)   # the same order in every block and in the final cut
+            at, to = np.nonzero(d <= np.partition(d, min(k, len(B)) - 1, axis=1)[:, min(k, len(B)) - 1][:, None])
+            order = np.lexsort((to, d[at, to], at))   # ties: smaller id first
+            at, to = at[order], to[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at, "left") < k
+            at, to = at[keep], to[keep]
+            q.append(aid[i + at])
+            n.append(bid[to])
+            near.append(d[at, to])
+        return {"query": np.concatenate(q), "neighbour": np.concatenate(n), "d": np.concatenate(near)}
 
     cand = blocks.reduce_pairs(blocks.cross_pairs(a, b, []), [], kernel, "query long, neighbour long, d double")
     w = W.partitionBy("query").orderBy("d", "neighbour")   # at most k rows per train block

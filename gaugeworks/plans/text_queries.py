@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gates, ledger, profile, text
-from ..session import shared_dir
+from ..session import shared_dir, store
 
 from .base import CTE, query, read, with_
 
@@ -165,13 +165,14 @@ def _(spark, d):
     g = text.extract_all(x, "doc_id", "text", "cue", VOC)
     p = text.extract_all(x, "doc_id", "text", "keyword", VOC)
     on = ["doc_id", "subject", "relation", "object"]
-    return g.join(p, on, "left_semi").withColumn("part", F.lit("both")).unionByName(g.join(p, on, "left_anti").withColumn("part", F.lit("gold_only")))
+    found = g.join(p.distinct().withColumn("_p", F.lit(1)), on, "left")   # each text is read once a method
+    return found.withColumn("part", F.when(F.col("_p") == 1, "both").otherwise("gold_only")).drop("_p")
 
 
 @query("c13_extraction_comparison", with_("marked amarked kw cue", f"SELECT 'cue' AS method, * FROM ({_SCORE.format(g='kw', p='cue')}) UNION ALL SELECT 'keyword', * FROM ({_SCORE.format(g='cue', p='kw')})"))
 def _(spark, d):
     x = docs(spark, d)
-    a, b = (text.extract_all(x, "doc_id", "text", m, VOC) for m in ("cue", "keyword"))
+    a, b = (store(text.extract_all(x, "doc_id", "text", m, VOC), "triples") for m in ("cue", "keyword"))   # read twice
     return text.score_triples(b, a, "doc_id", VOC).withColumn("method", F.lit("cue")).unionByName(
         text.score_triples(a, b, "doc_id", VOC).withColumn("method", F.lit("keyword")))
 
