@@ -16,6 +16,8 @@ LENGTH, SEGMENTS = 2048, 256
 #: Examples that wait for a place; sequences are closed while more than half of them wait.
 POOL = 4096
 END = 1
+#: Bytes of text that are encoded at a time; an executor's workers hold the indices of all its tokens.
+PART = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ITEM_SCHEMA = "item_id string, n_tokens long, n_loss long, sequence_id long, offset long"
 
@@ -101,7 +103,7 @@ def _pack_texts(batches, path: str, spaced: bool, folded: bool, end: int, length
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PART):
             ids, count = enc.with_end(part.column(part.schema.get_field_index("text")), end)
             ids, at = ids.astype("<u4"), 0
             for doc_id, n in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), count.tolist()):

@@ -47,7 +47,7 @@ class Encoder:
     def _clear(self):
         self.rows: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self._add(["", ",", "."])
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -72,7 +72,7 @@ class Encoder:
         missing = [x for x in keys if x not in self.rows]
         if missing:
             self._add(missing)
-        return np.fromiter((self.rows[x] for x in keys), np.int64, len(keys))
+        return np.fromiter((self.rows[x] for x in keys), np.int32, len(keys))
 
     def _table(self, pieces: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the stem and of the closing comma or full stop of each piece."""
@@ -84,10 +84,10 @@ class Encoder:
         stem = pc.if_else(stop, pc.utf8_slice_codeunits(distinct, 0, -1), distinct)
         close = pc.if_else(stop, pc.utf8_slice_codeunits(distinct, -1), "")
         stems = stem.dictionary_encode()
-        row = self._rows_of(stems.dictionary, lead)[stems.indices.to_numpy()] if len(stems) else np.zeros(0, np.int64)
+        row = self._rows_of(stems.dictionary, lead)[stems.indices.to_numpy()] if len(stems) else np.zeros(0, np.int32)
         code = coded.indices.to_numpy()
         ends = close.dictionary_encode()
-        end = np.array([self.rows[x] for x in ends.dictionary.to_pylist()] or [0], np.int64)[ends.indices.to_numpy()] if len(ends) else row
+        end = np.array([self.rows[x] for x in ends.dictionary.to_pylist()] or [0], np.int32)[ends.indices.to_numpy()] if len(ends) else row
         return row[code], end[code]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ class Encoder:
         parts = pc.split_pattern(plain, " ")
         pieces, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        rows = np.zeros((len(pieces), 2), np.int64)
+        rows = np.zeros((len(pieces), 2), np.int32)
         if self.spaced:
             first = np.zeros(len(pieces), bool)
             first[offsets[:-1]] = True
@@ -113,10 +113,14 @@ class Encoder:
             rows[:, 0], rows[:, 1] = self._table(pieces, "")
         rows = rows.ravel()
         size = self.size[rows]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[rows] - upto[:-1], size) + np.arange(upto[-1])]
+        upto = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
         ends = upto[offsets * 2]
         count = np.diff(ends)
+        at = np.repeat((self.start[rows] - upto[:-1]).astype(np.int32), size)   # a part has fewer ids than bytes, below 2^31
+        at += np.arange(len(at), dtype=np.int32)
+        ids = self.flat[at]
+        del rows, size, upto, at, pieces, parts, plain
         if uneven.any():
             where = np.flatnonzero(uneven)
             whole = [e.ids for e in self.whole.encode_batch_fast([texts[int(i)].as_py() for i in where], add_special_tokens=False)]

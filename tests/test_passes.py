@@ -39,3 +39,17 @@ def test_vectors_are_shuffled_seldom(spark):
     n = 9_000
     a = spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
     assert similarity.BLOCK_ROWS >= 8_192 and similarity.knn(a, a.limit(300), "id", "v", 3).count() == 900
+
+
+def test_packing_encodes_small_parts(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    pytest.importorskip("public_tokenizers")
+    from gaugeworks.llm import packing, vocab
+    seen = []
+    whole = vocab.Encoder.with_end
+    monkeypatch.setattr(vocab.Encoder, "with_end", lambda self, texts, end: (seen.append(texts.nbytes), whole(self, texts, end))[1])
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    texts = [f"word {i} and some more of it " * 40 for i in range(5_000)]
+    batch = pa.record_batch([pa.array(range(5_000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(packing._pack_texts([batch], vocab.vocabulary("byte_bpe_50k.json"), True, False, 1, 2048, 256))
+    assert max(seen) < 3 << 20 and len({i for b in out for i in b.column(0).to_pylist()}) == 5_000
