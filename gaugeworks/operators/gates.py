@@ -67,7 +67,7 @@ def check_citations(df: DataFrame, text: str, out: str = "violations") -> DataFr
     projection; the rules are plain boolean columns over those.
     """
     d = df.withColumn("_ct", _trimmed(F.col(text)))
-    d = d.withColumns({"_cl": F.lower("_ct"), "_cw": word_count(F.col("_ct"))})
+    d = d.withColumns({"_cl": F.lower("_ct"), "_cw": word_count(F.col(text))})
     checks = _citation_checks("_ct", "_cl", "_cw")
     d = d.withColumns({f"_cf_{n}": c for n, c in checks.items()})
     d = d.withColumn(out, F.when(F.col("_ct") == "", F.array(F.lit("empty"))).otherwise(_labels(list(checks), "_cf_")))
