@@ -3,12 +3,15 @@
 The rows of a key are cut into blocks along a Z-order curve, so a block is a
 compact piece of the field, and a block into leaves of LEAF rows.  The boxes of two leaves bound
 their distances; where both bounds fall into one bin, the pairs of the leaves count as a whole.
-Only the other leaves are compared row by row.  Rounding keeps order in every
+Only the other leaves are compared row by row.  A quantile is first enclosed by the
+bounds alone, so its passes compare only leaves whose distances reach the enclosure.  Rounding keeps order in every
 operation, so bounds and values agree to the last bit.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
@@ -18,15 +21,17 @@ from .attach import attach, null_safe
 from .ordered import row_numbers
 
 LEAF = 32
-#: Pairs of leaves that are compared at a time.
-SLAB = 1_024
+#: Rows of a block.
+BLOCK_ROWS = 4_096
+#: Pairs of leaves that are compared at a time: their distances stay in the cache.
+SLAB = 64
 #: Steps of the Z-order curve along each axis, in bits.
 Z_BITS = 16
-#: Bits of a value that remain after each pass of ``quantile``.
-SHIFTS = (52, 40, 28, 16, 4, 0)
-#: A bin with at most this many pairs is settled in one more pass.
+#: Bits of a value below those by which ``quantile`` first bins the bounds, and bits that each later pass settles.
+FIRST, STEP = 44, 12
+#: A range with at most this many pairs is settled in one more pass.
 FEW = 1 << 16
-_LOW_BITS = np.int64(0x7FFF_FFFF_FFFF_FFFF)
+_INF = np.float64(np.inf).view(np.int64)
 
 
 def _spread(c):
@@ -36,7 +41,7 @@ def _spread(c):
     return c
 
 
-def pack(df: DataFrame, keys, cols, id_col: str = "id", block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+def pack(df: DataFrame, keys, cols, id_col: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per (key, block) as :func:`blocks.pack`, each block a stretch of the Z-order curve; rows without a place are left out."""
     keys = list(keys)
     df = df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
@@ -100,47 +105,60 @@ def _both(row, z: bool = False):
     return a, b, same, todo
 
 
-def _whole(lo, hi, todo, same: bool):
-    """Pairs of leaves that fall into one bin as a whole, and those to compare."""
-    one = todo & (lo == hi)
+def _pairs(a: Leaves, b: Leaves, same: bool) -> np.ndarray:
+    """Pairs of rows in each pair of leaves."""
+    n = a.n[:, None] * b.n[None, :]
     if same:
-        np.fill_diagonal(one, False)
-    return one, todo & ~one
+        np.fill_diagonal(n, a.n * (a.n - 1) // 2)
+    return n
 
 
 # ------------------------------------------------------------------ quantile
 
 def _image(v: np.ndarray) -> np.ndarray:
-    """The integers whose order is that of the doubles (its own inverse, apart from -0)."""
-    b = (np.asarray(v, float) + 0.0).view(np.int64)
-    return b ^ ((b >> 63) & _LOW_BITS)
+    """The integers whose order is that of the distances (not below zero)."""
+    return (np.asarray(v, float) + 0.0).view(np.int64)
 
 
-def _counts(row, before, shift):
-    """Pairs by the top bits of their distance, of those below ``row.prefixes`` if given: (prefix, bin, count)."""
+def _enclose(row):
+    """Pairs by the top bits of the bounds of their leaves: (bin, pairs whose least distance lies there, greatest)."""
     a, b, same, todo = _both(row)
-    lo, hi = (_image(v) for v in bounds(a, b))
+    n = _pairs(a, b, same)[todo]
+    ends = [_image(v[todo]) >> FIRST for v in bounds(a, b)]
+    bins = np.unique(np.concatenate(ends))
+    least, most = (np.bincount(np.searchsorted(bins, e), n, len(bins)).astype(np.int64) for e in ends)
+    return {"bin": bins, "least": least, "most": most}
+
+
+def _counts(row):
+    """Pairs by bins of 2^shift images, for each range of ``row.asked``: (lo, bin, count); bin -1 holds those below the range."""
+    a, b, same, todo = _both(row)
+    n = _pairs(a, b, same)
+    low, high = (_image(v) for v in bounds(a, b))
     out = []
-    for prefix in [None] if before is None else sorted(row.prefixes):
-        mine = todo if prefix is None else todo & (lo >> before <= prefix) & (hi >> before >= prefix)
-        one, rest = _whole(lo >> shift, hi >> shift, mine, same)
-        found = [((lo >> shift)[one], (a.n[:, None] * b.n[None, :])[one])]
-        for _, _, d in compared(a, b, *np.nonzero(rest), same):
-            v = _image(d[~np.isnan(d)])
-            if prefix is not None:
-                v = v[v >> before == prefix]
-            found.append(np.unique(v >> shift, return_counts=True))
+    for lo, hi, shift in sorted((int(q["lo"]), int(q["hi"]), int(q["shift"])) for q in row.asked):
+        hi = min(hi, int(_INF))
+        below = todo & (high < lo)
+        inside = todo & ~below & (low <= hi)
+        one = inside & (low >= lo) & (high <= hi) & ((low - lo) >> shift == (high - lo) >> shift)
+        under = int(n[below].sum())
+        found = [(((low - lo) >> shift)[one], n[one])]
+        first, last = (np.int64(v).view(float) for v in (lo, hi))
+        for _, _, d in compared(a, b, *np.nonzero(inside & ~one), same):
+            under += int(np.count_nonzero(d < first))
+            found.append(np.unique((_image(d[(d >= first) & (d <= last)]) - lo) >> shift, return_counts=True))
+        found.append((np.array([-1]), np.array([under])))
         bins, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        out.append((np.full(len(bins), prefix or 0), bins, np.bincount(at, np.concatenate([f[1] for f in found]), len(bins)).astype(np.int64)))
-    return {n: np.concatenate([o[k] for o in out]) for k, n in enumerate(("prefix", "bin", "c"))}
+        out.append((np.full(len(bins), lo), bins, np.bincount(at, np.concatenate([f[1] for f in found]), len(bins)).astype(np.int64)))
+    return {k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("lo", "bin", "c"))}
 
 
 def quantile(packed: DataFrame, keys, prob: float, out: str) -> DataFrame:
     """Exact ``prob`` quantile (linear interpolation) of the distances of all row pairs of a key.
 
-    Keys of one block are answered inside their task.  For larger keys the bits of the
-    two neighbouring order statistics are settled from the top, twelve a pass, until few
-    pairs share them.  The state after each pass is a table in the shared folder.
+    Keys of one block are answered inside their task.  For larger keys the bounds of
+    the leaves enclose the two neighbouring order statistics; each pass then cuts their range into 4,096 until few
+    pairs are left in it.  The state after each pass is a table in the shared folder.
     """
     keys = list(keys)
     packed = packed.select(*keys, "nblk", "blk", "x", "y")
@@ -154,55 +172,72 @@ def quantile(packed: DataFrame, keys, prob: float, out: str) -> DataFrame:
     packed = packed.filter("nblk > 1")
     if not packed.limit(1).collect():
         return answer
-    w_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    schema = "prefix long, bin long, c long"
-
-    def counted(pairs, before, shift):
-        return blocks.reduce_pairs(pairs, keys, lambda row: _counts(row, before, shift), schema).groupBy(*keys, "prefix", "bin").agg(F.sum("c").alias("c"))
+    part = lambda *c: W.partitionBy(*keys, *c) if keys or c else W.partitionBy(F.lit(0))
+    until = lambda *c: part(*c).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
 
     pairs = blocks.self_pairs(packed, keys)
-    counts = counted(pairs, None, SHIFTS[0])
-    h = (F.sum("c").over(w_key) - 1) * F.lit(float(prob))
-    bins = counts.select(*keys, "bin", "c", h.alias("h")).select(
-        "*", F.lit(0).cast("long").alias("below"), F.posexplode(F.array(F.floor("h"), F.ceil("h"))).alias("side", "idx"))
-    ks = [*keys, "side", "idx", "h", "below"]
-    before, shift = None, SHIFTS[0]
+    ends = blocks.reduce_pairs(pairs, keys, _enclose, "bin long, least long, most long").groupBy(*keys, "bin").agg(
+        F.sum("least").alias("least"), F.sum("most").alias("most"))                       # at most 2^(63 - FIRST) rows a key
+    cum = ends.select(*keys, "bin", ((F.sum("least").over(part()) - 1) * F.lit(float(prob))).alias("h"),
+                      F.sum("least").over(until()).alias("least"), F.sum("most").over(until()).alias("most"))
+    state = cum.groupBy(*keys, "h").agg(F.min(F.when(F.col("least") > F.floor("h"), F.col("bin"))).alias("_a"),
+                                        F.min(F.when(F.col("most") > F.ceil("h"), F.col("bin"))).alias("_b"))
+    state = state.select(*keys, "h", F.shiftleft("_a", FIRST).alias("lo"), (F.shiftleft(F.col("_b") + 1, FIRST) - 1).alias("hi"), F.lit(None).cast("long").alias("c"),
+                         F.posexplode(F.array(F.floor("h"), F.ceil("h"))).alias("side", "idx"))
+    ks = [*keys, "side", "idx", "h", "lo", "hi", "shift"]
     while True:
-        w = W.partitionBy(*ks).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)   # at most 4 096 rows, or FEW
-        cum = bins.withColumn("cum", F.sum("c").over(w) + F.col("below"))
+        bits = F.greatest(F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))) - STEP, F.lit(0))
+        state = store(state.withColumn("shift", F.when(F.col("c") <= FEW, 0).otherwise(bits).cast("int")).drop("c"), "pair-ranges")
+        asked = state.groupBy(*keys).agg(F.collect_set(F.struct("lo", "hi", "shift")).alias("asked"))   # one or two
+        counts = blocks.reduce_pairs(attach(pairs, asked, keys), keys, _counts, "lo long, bin long, c long").groupBy(*keys, "lo", "bin").agg(F.sum("c").alias("c"))
+        bins = null_safe(state, counts, [*keys, "lo"]).withColumn("cum", F.sum("c").over(until(*ks[len(keys):])))   # at most 4 097 rows, or FEW + 1
         hit = (F.col("cum") - F.col("c") <= F.col("idx")) & (F.col("idx") < F.col("cum"))
-        state = store(cum.filter(hit).select(*keys, "side", "idx", "h", (F.col("cum") - F.col("c")).alias("below"), F.col("bin").alias("prefix"), "c"), "pair-bits")
-        if not shift:
+        done = not state.agg(F.max("shift")).first()[0]
+        state = bins.filter(hit).select(*keys, "side", "idx", "h", F.expr("lo + shiftleft(bin, shift)").alias("lo"),
+                                        F.expr("lo + shiftleft(bin + 1, shift) - 1").alias("hi"), "c")
+        if done:
             break
-        most = state.agg(F.max("c")).first()[0]
-        before, shift = shift, 0 if most is None or most <= FEW else next(s for s in SHIFTS if s < shift)
-        asked = state.groupBy(*keys).agg(F.collect_set("prefix").alias("prefixes"))   # one or two
-        rows = attach(pairs, asked, keys)
-        bins = null_safe(state.drop("c"), counted(rows, before, shift), [*keys, "prefix"]).drop("prefix")
 
     def value(rows):
         for pdf in rows:
-            x = pdf["prefix"].to_numpy(np.int64)
-            yield pdf.assign(v=(x ^ ((x >> 63) & _LOW_BITS)).view(float))[found.names]
+            yield pdf.assign(v=pdf["lo"].to_numpy(np.int64).view(float))[found.names]
 
-    ends = state.select(*keys, "side", "h", "prefix")
-    found = T.StructType([*ends.schema.fields, T.StructField("v", T.DoubleType())])
-    pair = ends.mapInPandas(value, found).groupBy(*keys, "h").agg(F.min_by("v", "side").alias("v0"), F.max_by("v", "side").alias("v1"))
+    exact = state.select(*keys, "side", "h", "lo")
+    found = T.StructType([*exact.schema.fields, T.StructField("v", T.DoubleType())])
+    pair = exact.mapInPandas(value, found).groupBy(*keys, "h").agg(F.min_by("v", "side").alias("v0"), F.max_by("v", "side").alias("v1"))
     return answer.unionByName(pair.select(*keys, (F.col("v0") + (F.col("h") - F.floor("h")) * (F.col("v1") - F.col("v0"))).alias(out)))
 
 
 # ------------------------------------------------------------------ variogram
 
+@lru_cache(16)
+def _edges(max_dist: float, n_bins: int) -> np.ndarray:
+    """The least square of a distance that falls into bin 1, 2, ... or beyond; bisected, as the division rounds."""
+    bins = np.arange(1, n_bins + 1)
+    lo, hi = np.full(n_bins, -1, np.int64), np.full(n_bins, _INF)
+    while (hi - lo > 1).any():
+        mid = lo + (hi - lo) // 2
+        reached = _bin(np.sqrt(np.maximum(mid, 0).view(float)), max_dist, n_bins) >= bins
+        lo, hi = np.where(reached, lo, mid), np.where(reached, mid, hi)
+    return hi.view(float)
+
+
+def _bin(d, max_dist: float, n_bins: int):
+    """Number of the right-open bin of a distance, ``n_bins`` from ``max_dist`` on."""
+    return np.where(d < max_dist, np.minimum(np.floor(d / (max_dist / n_bins)), n_bins), n_bins).astype(np.int64)
+
+
 def squared_by_bin(packed: DataFrame, keys, limit: DataFrame, n_bins: int) -> DataFrame:
     """Pairs and sums of half the squared differences of ``z`` by distance bin: (bin, n, g); rows without ``z`` are left out.
 
     ``limit`` has one row per key with ``max_dist``; the bins are right-open and equal.
+    Pairs are counted from each bin on: two leaves count as a whole up to the bin of their least distance,
+    and by comparing their rows with the edges up to the bin of their greatest.
     """
     keys = list(keys)
 
     def kernel(row):
-        width = row.max_dist / n_bins
-        if not width > 0:
+        if not row.max_dist / n_bins > 0:
             return None
         a_z, b_z = np.asarray(row.a_z, float), np.asarray(row.b_z, float)
         ka, kb = ~np.isnan(a_z), ~np.isnan(b_z)
@@ -212,24 +247,41 @@ def squared_by_bin(packed: DataFrame, keys, limit: DataFrame, n_bins: int) -> Da
         a = Leaves(np.asarray(row.a_x, float)[ka], np.asarray(row.a_y, float)[ka], a_z[ka] - middle)
         same = row.i == row.j
         b = a if same else Leaves(np.asarray(row.b_x, float)[kb], np.asarray(row.b_y, float)[kb], b_z[kb] - middle)
-        todo = np.ones((len(a.n), len(b.n)), bool)
-        todo = np.triu(todo) if same else todo
-        lo, hi = bounds(a, b)
-        todo &= lo < row.max_dist
-        at = lambda d: np.where(d < row.max_dist, np.minimum(np.floor(d / width), n_bins), n_bins).astype(np.int64)
-        one, rest = _whole(at(lo), at(hi), todo, same)
-        n, g = np.zeros(n_bins + 1, np.int64), np.zeros(n_bins + 1)
+        pairs = _pairs(a, b, same)
+        todo = np.triu(np.ones(pairs.shape, bool)) if same else np.ones(pairs.shape, bool)
+        first, last = (_bin(v, row.max_dist, n_bins) for v in bounds(a, b))
+        todo &= first < n_bins
         s1, s2 = ([np.nansum(v.z ** k, 1) for v in (a, b)] for k in (1, 2))
         half = 0.5 * (b.n[None, :] * s2[0][:, None] + a.n[:, None] * s2[1][None, :]) - s1[0][:, None] * s1[1][None, :]
-        bins = at(lo)[one]
-        n += np.bincount(bins, (a.n[:, None] * b.n[None, :])[one], n_bins + 1).astype(np.int64)
-        g += np.bincount(bins, half[one], n_bins + 1)
-        for p, q, d in compared(a, b, *np.nonzero(rest), same):
-            bins = np.where(np.isnan(d), n_bins, at(d)).ravel()
-            n += np.bincount(bins, minlength=n_bins + 1)
-            g += np.bincount(bins, np.nan_to_num((0.5 * (a.z[p][:, :, None] - b.z[q][:, None, :]) ** 2).ravel()), n_bins + 1)
-        hit = np.flatnonzero(n[:n_bins])
-        return {"bin": hit, "n": n[hit], "g": g[hit]}
+        if same:
+            np.fill_diagonal(half, half.diagonal() / 2)
+        from_on = lambda v: np.bincount(first[todo], v[todo], n_bins + 1)[::-1].cumsum()[::-1]
+        n, g = from_on(pairs).astype(np.int64), from_on(half)
+        i, j = np.nonzero(todo & (last > first))
+        order = np.argsort(first[i, j], kind="stable")
+        i, j = i[order], j[order]
+        edges = np.concatenate([[0.0], _edges(float(row.max_dist), n_bins)])
+        az, bz = np.nan_to_num(a.z), np.nan_to_num(b.z)
+        right = np.stack([np.ones_like(bz), bz, bz * bz], -1)
+        upper = np.triu(np.ones((LEAF, LEAF), bool), 1)
+        for s in range(0, len(i), SLAB):
+            p, q = i[s:s + SLAB], j[s:s + SLAB]
+            d2 = (a.x[p][:, :, None] - b.x[q][:, None, :]) ** 2 + (a.y[p][:, :, None] - b.y[q][:, None, :]) ** 2
+            if same:
+                own = np.flatnonzero(p == q)
+                d2[own] = np.where(upper, d2[own], np.nan)
+            f, l = first[p, q], last[p, q]
+            for k in range(f.min() + 1, l.max() + 1):
+                at = np.flatnonzero((f < k) & (k <= l))
+                if len(at):
+                    reach = (d2 if len(at) == len(d2) else d2[at]) >= edges[k]
+                    count, one, two = np.moveaxis(reach.astype(float) @ right[q[at]], -1, 0)
+                    z = az[p[at]]
+                    n[k] += int(count.sum())
+                    g[k] += 0.5 * ((z * z * count).sum() + two.sum()) - (z * one).sum()
+        n, g = n[:-1] - n[1:], g[:-1] - g[1:]
+        hit = np.flatnonzero(n)
+        return {"bin": hit, "n": n[hit], "g": np.maximum(g[hit], 0.0)}
 
     pairs = attach(blocks.self_pairs(packed, keys), limit, keys)
     part = blocks.reduce_pairs(pairs, keys, kernel, "bin int, n long, g double")

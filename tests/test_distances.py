@@ -1,5 +1,7 @@
 """Distances of all pairs by leaves, against plain versions; work on pairs of blocks spread over tasks."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -52,6 +54,33 @@ def test_most_pairs_of_leaves_count_as_a_whole():
     assert (np.floor(lo / 10) == np.floor(hi / 10)).mean() > 0.9
 
 
+def test_quantile_compares_few_pairs(spark, monkeypatch):
+    rows = SimpleNamespace(i=0, j=1, a_x=RNG.normal(0, 1, 2048), a_y=RNG.normal(0, 1, 2048), b_x=RNG.normal(9, 2, 2048), b_y=RNG.normal(0, 1, 2048))
+    d = np.sqrt((rows.a_x[:, None] - rows.b_x) ** 2 + (rows.a_y[:, None] - rows.b_y) ** 2).ravel()
+    got = distances._enclose(rows)
+    assert got["least"].sum() == got["most"].sum() == d.size
+    k = int(0.9 * d.size)
+    lo, hi = (int(got["bin"][np.searchsorted(got[c].cumsum(), k, "right")]) << distances.FIRST for c in ("least", "most"))
+    hi += (1 << distances.FIRST) - 1
+    exact = int(distances._image(np.partition(d, k))[k])
+    assert lo <= exact <= hi
+    looked, compared = [], distances.compared
+    monkeypatch.setattr(distances, "compared", lambda a, b, i, j, same: looked.append(len(i)) or compared(a, b, i, j, same))
+    rows.asked = [dict(lo=lo, hi=hi, shift=max(0, (hi - lo + 1).bit_length() - distances.STEP))]
+    c = distances._counts(rows)
+    assert c["c"][c["bin"] == -1][0] == (distances._image(d) < lo).sum()
+    at = c["bin"] >= 0
+    assert c["c"][at].sum() == ((distances._image(d) >= lo) & (distances._image(d) <= hi)).sum()
+    assert sum(looked) < 0.4 * 64 * 64
+
+
+def test_edges_agree_with_the_rounded_division():
+    for most in (33.7123, 1e-3 / 7, 11.0):
+        edges = distances._edges(most, 15)
+        before = np.nextafter(edges, 0)
+        assert (distances._bin(np.sqrt(edges), most, 15) == np.arange(1, 16)).all() and (distances._bin(np.sqrt(before), most, 15) < np.arange(1, 16)).all()
+
+
 def test_pairs_of_small_blocks_run_in_many_tasks(spark):
     packed = blocks.pack(spark.range(400).withColumn("x", F.col("id").cast("double")), [], ["x"], "id", 20)
     other = packed.select(*[F.col(c).alias(f"b_{c}") for c in packed.columns])
