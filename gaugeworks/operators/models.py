@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -144,18 +146,22 @@ def gbt_calibrated(train: DataFrame, xs, label: str, id_col: str, folds: int = 3
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
+    from pyspark.util import inheritable_thread_target
     from ..functions.scalars import md5_int
     fold = md5_int(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))) % folds
     d = assemble(train, xs).select("features", fold.alias("_fold"), F.col(label).cast("double").alias(label))
     d = d.persist(StorageLevel.MEMORY_AND_DISK)   # read 2 * folds times; lost blocks are recomputed
-    parts = []
-    for k in range(folds):
+
+    def fit(k: int):
         gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step,
                             seed=seed).fit(d.filter(F.col("_fold") != k))
         held = gbt.transform(d.filter(F.col("_fold") == k)).withColumn("_score", vector_to_array("probability")[1])
         # equal scores collapse to one weighted point before the isotonic fit
         pts = held.groupBy("_score").agg(F.avg(label).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
         iso = IsotonicRegression(featuresCol="_score", labelCol="_y", weightCol="_w", predictionCol="_iso").fit(pts)
-        parts.append((gbt, iso))
+        return gbt, iso
+
+    with ThreadPool(folds) as pool:   # a tree is some small jobs in a row, so the folds run side by side
+        parts = pool.map(inheritable_thread_target(d.sparkSession)(fit), range(folds))
     d.unpersist()
     return CalibratedGBT(parts, xs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import features, metrics, models, raster, score
 from ..operators.attach import attach
+from ..session import store
 from .base import cells, hourly_roled, patches, query, read, stations
 
 
@@ -80,27 +81,32 @@ def _(spark, d):
 
 
 def _presence(spark, d):
-    """Quality labels as presence, document length and word shape as covariates."""
+    """Quality labels as presence, document length and word shape as covariates; stored, as the fits read them many times."""
     lab = read(spark, d, "labels").filter(F.col("quality").isNotNull())
-    doc = read(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("t"), (F.length(F.regexp_replace("text", r"[^\n]", "")) / (F.col("n_chars") + 1.0)).alias("p"),
-                                             (F.length(F.regexp_replace("text", r"[^0-9]", "")) / (F.col("n_chars") + 1.0)).alias("e"))
+    doc = read(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("t"), (_lost("text", F.replace("text", F.lit("\n"), F.lit(""))) / (F.col("n_chars") + 1.0)).alias("p"),
+                                             (_lost("text", F.regexp_replace("text", "[0-9]", "")) / (F.col("n_chars") + 1.0)).alias("e"))
     x = lab.join(doc, "doc_id").select("doc_id", F.col("quality").alias("y_label"), "t", "p", "e")
-    return x.withColumns({"t2": F.col("t") * F.col("t"), "p2": F.col("p") * F.col("p")})
+    return store(x.withColumns({"t2": F.col("t") * F.col("t"), "p2": F.col("p") * F.col("p")}), "presence")
+
+
+def _lost(text, left):
+    """Characters that ``left`` lacks: counted by taking out the few, not the many."""
+    return F.length(text) - F.length(left)
 
 
 _GX = ["t", "p", "e", "t2", "p2"]
 
 
-def _glm(spark, d):
+def _glm(spark, d, x=None):
     from pyspark.ml.functions import vector_to_array
-    x = _presence(spark, d)
+    x = x or _presence(spark, d)
     m = models.glm_logistic(x.filter("doc_id % 10 < 7"), _GX, "y_label")
     return m.transform(models.assemble(x.filter("doc_id % 10 >= 7"), _GX, "_raw")).select(
         "doc_id", F.lit("glm").alias("method"), "y_label", vector_to_array("probability")[1].alias("prob"))
 
 
-def _boosted(spark, d):
-    x = _presence(spark, d)
+def _boosted(spark, d, x=None):
+    x = x or _presence(spark, d)
     m = models.gbt_calibrated(x.filter("doc_id % 10 < 7"), ["t", "p", "e"], "y_label", "doc_id")
     return m, m.transform(x.filter("doc_id % 10 >= 7")).select("doc_id", F.lit("boosted").alias("method"), "y_label", "prob")
 
@@ -124,7 +130,8 @@ def _(spark, d):
 
 @query("c10_species_distribution")
 def _(spark, d):
-    both = _glm(spark, d).unionByName(_boosted(spark, d)[1])
+    x = _presence(spark, d)
+    both = _glm(spark, d, x).unionByName(_boosted(spark, d, x)[1])
     return metrics.binary_probability(both, ["method"], "y_label", "prob")
 
 
