@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -29,51 +30,70 @@ class Pool:
     with the largest dot product of its vector and the rest (each dimension in
     shares of its limit, weighted by its mean demand); of equals the one that came
     first.  If none fits and ``cut`` allows it, the best one is cut to the tokens
-    that are left.
+    that are left.  Examples of one vector wait together, so a choice looks at the different vectors only.
     """
 
     def __init__(self, length: int, segments: int, loss: int, cut: bool, pool: int = POOL):
         self.limit, self.cut, self.pool = np.array([length, segments, loss], np.int64), cut, pool
-        self.need = np.zeros((2 * pool, 3), np.int64)
-        self.what: list = [None] * (2 * pool)
-        self.live, self.n = np.zeros(2 * pool, bool), 0
+        self.need, self.count = np.zeros((64, 3)), np.zeros(64, np.int64)
+        self.wait: list[list] = []
+        self.slot: dict[tuple[int, int], int] = {}
+        self.came = self.waiting = 0
+
+    def _put(self, tokens: int, loss: int, entry) -> None:
+        i = self.slot.get((tokens, loss))
+        if i is None:
+            if len(self.wait) == len(self.need):
+                self._drop()
+            i = self.slot[tokens, loss] = len(self.wait)
+            self.need[i], self.count[i] = (tokens, 1, loss), 0
+            self.wait.append([])
+        heapq.heappush(self.wait[i], entry)
+        self.count[i] += 1
+
+    def _drop(self) -> None:
+        """Room for more vectors: those that nothing bears any more go, and if half are borne there is twice the room."""
+        keep = np.flatnonzero(self.count[:len(self.wait)])
+        size = len(self.need) * (2 if 2 * len(keep) > len(self.need) else 1)
+        need, count = np.zeros((size, 3)), np.zeros(size, np.int64)
+        need[:len(keep)], count[:len(keep)] = self.need[keep], self.count[keep]
+        self.need, self.count, self.wait = need, count, [self.wait[i] for i in keep]
+        self.slot = {(int(t), int(l)): i for i, (t, _, l) in enumerate(need[:len(keep)].tolist())}
 
     def add(self, tokens: int, loss: int, what) -> None:
-        if self.n == len(self.what):
-            keep = np.flatnonzero(self.live)
-            self.need[:len(keep)], self.what = self.need[keep], [self.what[i] for i in keep] + [None] * (len(self.what) - len(keep))
-            self.live[:], self.n = False, len(keep)
-            self.live[:self.n] = True
-        self.need[self.n], self.what[self.n], self.live[self.n] = (tokens, 1, loss), what, True
-        self.n += 1
-
-    @property
-    def waiting(self) -> int:
-        return int(self.live.sum())
+        self._put(tokens, loss, (self.came, what))
+        self.came, self.waiting = self.came + 1, self.waiting + 1
+
+    def _best(self, among: np.ndarray, worth: np.ndarray) -> int:
+        """The vector of the largest dot product; of equals the one whose first example came first."""
+        score = self.need[among] @ worth
+        top = among[score == score.max()]
+        return int(top[0]) if len(top) == 1 else min(top.tolist(), key=lambda i: self.wait[i][0][0])
 
     def sequence(self):
         """The next sequence: a list of (what, tokens taken, whether a rest waits on)."""
         left, out = self.limit.copy(), []
-        weight = self.need[:self.n][self.live[:self.n]].mean(0) / self.limit ** 2.0
-        score = np.empty(self.n)
-        while left.min() > 0:
-            need, live = self.need[:self.n], self.live[:self.n]
-            fits = live & (need[:, 0] <= left[0]) & (need[:, 2] <= left[2])
-            np.matmul(need, weight * left, out=score)
-            if fits.any():
-                i = int(np.argmax(np.where(fits, score, -1.0)))
-                take, self.live[i] = int(need[i, 0]), False
-                out.append((self.what[i], take, False))
-                left -= need[i]
-            elif self.cut and live.any():
-                i = int(np.argmax(np.where(live, score, -1.0)))
+        n = len(self.wait)
+        weight = self.count[:n] @ self.need[:n] / max(self.waiting, 1) / self.limit ** 2.0
+        while left.min() > 0 and self.waiting:
+            n = len(self.wait)
+            live = self.count[:n] > 0
+            fits = np.flatnonzero(live & (self.need[:n, 0] <= left[0]) & (self.need[:n, 2] <= left[2]))
+            if not len(fits) and not self.cut:
+                break
+            i = self._best(fits if len(fits) else np.flatnonzero(live), weight * left)
+            came, what = heapq.heappop(self.wait[i])
+            self.count[i] -= 1
+            tokens, _, loss = (int(v) for v in self.need[i])
+            if len(fits):
+                self.waiting -= 1
+                out.append((what, tokens, False))
+                left -= (tokens, 1, loss)
+            else:
                 take = int(min(left[0], left[2]))
-                out.append((self.what[i], take, True))
-                need[i, 0] -= take
-                need[i, 2] -= take
+                out.append((what, take, True))
+                self._put(tokens - take, loss - take, (came, what))
                 left -= (take, 1, take)
-            else:
-                break
         return out
 
 

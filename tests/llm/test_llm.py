@@ -336,3 +336,21 @@ def test_pipeline_on_small_tables(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_packing_looks_at_different_vectors_only():
+    rng, pool = np.random.default_rng(3), packing.Pool(2048, 256, 2048, cut=True)
+    sizes = rng.integers(1, 90, 4000).tolist()
+    for k, n in enumerate(sizes):
+        pool.add(n, n, k)
+    assert len(pool.wait) <= 89
+    taken, first = dict.fromkeys(range(4000), 0), {}
+    while pool.waiting:
+        got = pool.sequence()
+        assert sum(t for _, t, _ in got) == 2048 or len(got) == 256 or not pool.waiting
+        for k, t, rest in got:
+            taken[k] += t
+            if not rest and taken[k] == t:
+                assert first.get(t, -1) < k      # of equals the one that came first
+                first[t] = k
+    assert list(taken.values()) == sizes
