@@ -1,5 +1,6 @@
 """Distances of all pairs of places, reduced to counts and sums, without looking at most pairs.
 
+Rows of one place come as one row with a weight, their number.
 The rows of a key are cut into blocks along a Z-order curve, so a block is a
 compact piece of the field, and a block into leaves of LEAF rows.  The boxes of two leaves bound
 their distances; where both bounds fall into one bin, the pairs of the leaves count as a whole.
@@ -57,9 +58,9 @@ def pack(df: DataFrame, keys, cols, id_col: str = "id", block_rows: int = BLOCK_
 
 
 class Leaves:
-    """The rows of a block as leaves of LEAF rows (the last ones padded with nan), with their boxes."""
+    """The rows of a block as leaves of LEAF rows (the last ones padded with nan), with their boxes; ``n`` adds up the weights ``w`` (1 if not given)."""
 
-    def __init__(self, x, y, z=None):
+    def __init__(self, x, y, z=None, w=None, spread=None):
         x, y = np.asarray(x, float), np.asarray(y, float)
         n = len(x)
         strip = LEAF * max(1, int(np.ceil(np.sqrt(n / LEAF))))
@@ -67,13 +68,17 @@ class Leaves:
         rank[np.lexsort((y, x))] = np.arange(n)
         order = np.lexsort((x, y, rank // strip))
         fill = -n % LEAF
-        shaped = lambda v: np.concatenate([v[order], np.full(fill, np.nan)]).reshape(-1, LEAF)
+        shaped = lambda v, pad=np.nan: np.concatenate([v[order], np.full(fill, pad, v.dtype)]).reshape(-1, LEAF)
         self.x, self.y = shaped(x), shaped(y)
         self.x0, self.x1 = np.nanmin(self.x, 1), np.nanmax(self.x, 1)
         self.y0, self.y1 = np.nanmin(self.y, 1), np.nanmax(self.y, 1)
-        self.n = (~np.isnan(self.x)).sum(1)
+        w = np.ones(n, np.int64) if w is None else np.asarray(w, np.int64)
+        self.single = bool((w == 1).all())
+        self.w = shaped(w, 0)
+        self.n = self.w.sum(1)
         if z is not None:
-            self.z = shaped(np.asarray(z, float))
+            z = np.asarray(z, float)
+            self.sums = [shaped(v, 0.0) for v in (w.astype(float), w * z, w * z * z + (0.0 if spread is None else spread))]
 
 
 def bounds(a: Leaves, b: Leaves):
@@ -85,8 +90,11 @@ def bounds(a: Leaves, b: Leaves):
 
 
 def compared(a: Leaves, b: Leaves, i, j, same: bool):
-    """Distances of the rows of leaves ``i`` and ``j``, some pairs of leaves at a time: (i, j, distances); nan where there is no pair."""
-    upper = np.triu(np.ones((LEAF, LEAF), bool), 1)
+    """Distances of the rows of leaves ``i`` and ``j``, some pairs of leaves at a time: (i, j, distances); nan where there is no pair.
+
+    Rows with weights also have a distance to themselves, that of the copies of their place.
+    """
+    upper = np.triu(np.ones((LEAF, LEAF), bool), int(a.single))
     for s in range(0, len(i), SLAB):
         p, q = i[s:s + SLAB], j[s:s + SLAB]
         d = np.sqrt((a.x[p][:, :, None] - b.x[q][:, None, :]) ** 2 + (a.y[p][:, :, None] - b.y[q][:, None, :]) ** 2)
@@ -96,11 +104,22 @@ def compared(a: Leaves, b: Leaves, i, j, same: bool):
         yield p, q, d
 
 
-def _both(row, z: bool = False):
+def _weights(a: Leaves, b: Leaves, p, q, same: bool):
+    """Pairs behind each distance of :func:`compared`; None if each is one pair."""
+    if a.single and b.single:
+        return None
+    n = a.w[p][:, :, None] * b.w[q][:, None, :]
+    if same:
+        own, d = np.flatnonzero(p == q), np.arange(LEAF)
+        n[own[:, None], d, d] = a.w[p[own]] * (a.w[p[own]] - 1) // 2
+    return n
+
+
+def _both(row):
     """Leaves of the two blocks of a pair, whether they are one block, and the pairs of leaves to count."""
     same = row.i == row.j
-    a = Leaves(row.a_x, row.a_y, row.a_z if z else None)
-    b = a if same else Leaves(row.b_x, row.b_y, row.b_z if z else None)
+    a = Leaves(row.a_x, row.a_y, w=getattr(row, "a_w", None))
+    b = a if same else Leaves(row.b_x, row.b_y, w=getattr(row, "b_w", None))
     todo = np.triu(np.ones((len(a.n), len(b.n)), bool)) if same else np.ones((len(a.n), len(b.n)), bool)
     return a, b, same, todo
 
@@ -144,9 +163,11 @@ def _counts(row):
         under = int(n[below].sum())
         found = [(((low - lo) >> shift)[one], n[one])]
         first, last = (np.int64(v).view(float) for v in (lo, hi))
-        for _, _, d in compared(a, b, *np.nonzero(inside & ~one), same):
-            under += int(np.count_nonzero(d < first))
-            found.append(np.unique((_image(d[(d >= first) & (d <= last)]) - lo) >> shift, return_counts=True))
+        for p, q, d in compared(a, b, *np.nonzero(inside & ~one), same):
+            w, hit = _weights(a, b, p, q, same), (d >= first) & (d <= last)
+            under += int(np.count_nonzero(d < first) if w is None else w[d < first].sum())
+            v, at, c = np.unique((_image(d[hit]) - lo) >> shift, return_inverse=True, return_counts=True)
+            found.append((v, c if w is None else np.bincount(at, w[hit], len(v)).astype(np.int64)))
         found.append((np.array([-1]), np.array([under])))
         bins, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
         out.append((np.full(len(bins), lo), bins, np.bincount(at, np.concatenate([f[1] for f in found]), len(bins)).astype(np.int64)))
@@ -161,12 +182,24 @@ def quantile(packed: DataFrame, keys, prob: float, out: str) -> DataFrame:
     pairs are left in it.  The state after each pass is a table in the shared folder.
     """
     keys = list(keys)
-    packed = packed.select(*keys, "nblk", "blk", "x", "y")
+    packed = packed.select(*keys, "nblk", "blk", "x", "y", "w")
 
     def small(row):
         a, b, same, todo = _both(row)
-        v = np.concatenate([d[~np.isnan(d)] for _, _, d in compared(a, b, *np.nonzero(todo), same)])
-        return {out: [float(np.quantile(v, prob))]} if v.size else None
+        v, w = [], []
+        for p, q, d in compared(a, b, *np.nonzero(todo), same):
+            real = ~np.isnan(d)
+            n = _weights(a, b, p, q, same)
+            v.append(d[real])
+            w.append(np.ones(len(v[-1]), np.int64) if n is None else n[real])
+        v, w = np.concatenate(v), np.concatenate(w)
+        order = np.argsort(v)
+        upto = np.cumsum(w[order])
+        if not len(upto) or not upto[-1]:
+            return None
+        h = (int(upto[-1]) - 1) * prob
+        v0, v1 = (float(v[order[np.searchsorted(upto, i, "right")]]) for i in (np.floor(h), np.ceil(h)))
+        return {out: [v0 + (h - np.floor(h)) * (v1 - v0)]}
 
     answer = blocks.reduce_pairs(blocks.self_pairs(packed.filter("nblk = 1"), keys), keys, small, f"{out} double")
     packed = packed.filter("nblk > 1")
@@ -230,6 +263,8 @@ def _bin(d, max_dist: float, n_bins: int):
 def squared_by_bin(packed: DataFrame, keys, limit: DataFrame, n_bins: int) -> DataFrame:
     """Pairs and sums of half the squared differences of ``z`` by distance bin: (bin, n, g); rows without ``z`` are left out.
 
+    A row stands for ``zw`` values at its place with mean ``z`` and sum ``zz`` of squared deviations from it.
+
     ``limit`` has one row per key with ``max_dist``; the bins are right-open and equal.
     Pairs are counted from each bin on: two leaves count as a whole up to the bin of their least distance,
     and by comparing their rows with the edges up to the bin of their greatest.
@@ -244,14 +279,15 @@ def squared_by_bin(packed: DataFrame, keys, limit: DataFrame, n_bins: int) -> Da
         if not (ka.any() and kb.any()):
             return None
         middle = (a_z[ka].mean() + b_z[kb].mean()) / 2
-        a = Leaves(np.asarray(row.a_x, float)[ka], np.asarray(row.a_y, float)[ka], a_z[ka] - middle)
+        leaves = lambda x, y, z, w, zz, k: Leaves(np.asarray(x, float)[k], np.asarray(y, float)[k], z[k] - middle, np.asarray(w)[k], np.asarray(zz, float)[k])
+        a = leaves(row.a_x, row.a_y, a_z, row.a_zw, row.a_zz, ka)
         same = row.i == row.j
-        b = a if same else Leaves(np.asarray(row.b_x, float)[kb], np.asarray(row.b_y, float)[kb], b_z[kb] - middle)
+        b = a if same else leaves(row.b_x, row.b_y, b_z, row.b_zw, row.b_zz, kb)
         pairs = _pairs(a, b, same)
         todo = np.triu(np.ones(pairs.shape, bool)) if same else np.ones(pairs.shape, bool)
         first, last = (_bin(v, row.max_dist, n_bins) for v in bounds(a, b))
         todo &= first < n_bins
-        s1, s2 = ([np.nansum(v.z ** k, 1) for v in (a, b)] for k in (1, 2))
+        s1, s2 = ([v.sums[k].sum(1) for v in (a, b)] for k in (1, 2))
         half = 0.5 * (b.n[None, :] * s2[0][:, None] + a.n[:, None] * s2[1][None, :]) - s1[0][:, None] * s1[1][None, :]
         if same:
             np.fill_diagonal(half, half.diagonal() / 2)
@@ -261,8 +297,7 @@ def squared_by_bin(packed: DataFrame, keys, limit: DataFrame, n_bins: int) -> Da
         order = np.argsort(first[i, j], kind="stable")
         i, j = i[order], j[order]
         edges = np.concatenate([[0.0], _edges(float(row.max_dist), n_bins)])
-        az, bz = np.nan_to_num(a.z), np.nan_to_num(b.z)
-        right = np.stack([np.ones_like(bz), bz, bz * bz], -1)
+        right = np.stack(b.sums, -1)
         upper = np.triu(np.ones((LEAF, LEAF), bool), 1)
         for s in range(0, len(i), SLAB):
             p, q = i[s:s + SLAB], j[s:s + SLAB]
@@ -276,9 +311,9 @@ def squared_by_bin(packed: DataFrame, keys, limit: DataFrame, n_bins: int) -> Da
                 if len(at):
                     reach = (d2 if len(at) == len(d2) else d2[at]) >= edges[k]
                     count, one, two = np.moveaxis(reach.astype(float) @ right[q[at]], -1, 0)
-                    z = az[p[at]]
-                    n[k] += int(count.sum())
-                    g[k] += 0.5 * ((z * z * count).sum() + two.sum()) - (z * one).sum()
+                    w, z, zz = (v[p[at]] for v in a.sums)
+                    n[k] += int((w * count).sum())
+                    g[k] += 0.5 * ((zz * count).sum() + (w * two).sum()) - (z * one).sum()
         n, g = n[:-1] - n[1:], g[:-1] - g[1:]
         hit = np.flatnonzero(n)
         return {"bin": hit, "n": n[hit], "g": np.maximum(g[hit], 0.0)}

@@ -87,3 +87,53 @@ def test_pairs_of_small_blocks_run_in_many_tasks(spark):
     left = packed.select(*[F.col(c).alias(f"a_{c}") for c in packed.columns])
     for pairs in (blocks.self_pairs(packed, []), blocks.cross_pairs(left, other, [])):
         assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def _copies(spark, n):
+    """Some places, each with ``n`` stations of different values, and their cells."""
+    xy = np.concatenate([RNG.normal(0, 20, (90, 2)).round(2), [[0.0, 0.0], [3.0, 4.0]]])
+    at = np.repeat(np.arange(len(xy)), n)
+    s = pd.DataFrame({"id": RNG.permutation(len(at)), "x": xy[at, 0], "y": xy[at, 1], "value": np.round(RNG.normal(1e4, 2, len(at)), 2)})
+    c = pd.DataFrame({"cell_id": np.arange(30), "x": np.repeat([1.0, 0.0, 9.0], 10), "y": np.repeat([2.0, 0.0, -7.0], 10)})
+    return s, c, spark.createDataFrame(s).repartition(4), spark.createDataFrame(c).repartition(4)
+
+
+@pytest.mark.parametrize("rows", [25, 2048])
+def test_copies_of_places_count_with_their_number(spark, rows):
+    s, c, s_df, c_df = _copies(spark, 7)
+    i, j = np.triu_indices(len(s), 1)
+    d = np.sqrt((s.x.to_numpy()[i] - s.x.to_numpy()[j]) ** 2 + (s.y.to_numpy()[i] - s.y.to_numpy()[j]) ** 2)
+    half = 0.5 * (s.value.to_numpy()[i] - s.value.to_numpy()[j]) ** 2
+    for prob in (0.002, 0.5, 0.9):
+        assert spatial.pair_distance_quantile(s_df, [], prob, block_rows=rows).first()[0] == pytest.approx(np.quantile(d, prob), rel=1e-14)
+    got = spatial.variogram(s_df, [], n_bins=6, max_dist=31.0, block_rows=rows).toPandas().sort_values("bin")
+    bins = np.where(d >= 31.0, 6, np.floor(d / (31.0 / 6)))
+    assert got.n_pairs.tolist() == [int((bins == b).sum()) for b in range(6)]
+    np.testing.assert_allclose(got.gamma, [half[bins == b].mean() for b in range(6)], rtol=1e-9)
+    near = spatial.nearest(s_df, c_df, [], "cell_id", 9, block_rows=rows).toPandas()
+    pred = spatial.idw(s_df, c_df, [], "cell_id", block_rows=rows).toPandas().set_index("cell_id").pred
+    assert len(near) == 30 * 9 and len(pred) == 30
+    for r in c.itertuples():
+        far = np.sqrt((s.x - r.x) ** 2 + (s.y - r.y) ** 2)
+        assert near[near.cell_id == r.cell_id].sort_values("rank").id.tolist() == s.assign(d=far).sort_values(["d", "id"]).id.head(9).tolist()
+        w = 1 / np.maximum(far, 1e-9) ** 2
+        assert pred[r.cell_id] == pytest.approx((w * s.value).sum() / w.sum(), rel=1e-12)
+
+
+def test_copies_of_places_do_not_multiply_the_work(spark):
+    s, c, s_df, c_df = _copies(spark, 300)
+    assert spatial._packed(s_df, [], "value", 64).selectExpr("sum(size(x))", "sum(aggregate(w, 0L, (a, v) -> a + v))").first()[:] == (92, 92 * 300)
+    tall = c_df.crossJoin(spark.range(500).withColumnRenamed("id", "copy")).select((F.col("cell_id") * 500 + F.col("copy")).alias("cell_id"), "x", "y")
+    seen = spark.sparkContext.accumulator(0)
+    least = spatial._least
+
+    def counted(v, k):
+        seen.add(v.size)
+        return least(v, k)
+
+    spatial._least = counted
+    try:
+        assert spatial.nearest(s_df, tall, [], "cell_id", 16).count() == 30 * 500 * 16
+    finally:
+        spatial._least = least
+    assert 0 < seen.value <= 3 * 92 * 16
