@@ -306,6 +306,24 @@ def test_passages_whose_seeds_have_other_holders(spark):
     assert got[7, 5] == (30, 90, 60) and got[107, 105] == (30, 150, 120)
 
 
+def test_passages_of_many_holders_meet_in_all_pairs(spark, monkeypatch):
+    a = _fresh("a", 60)
+    texts = {i: " ".join(_fresh(f"x{i}_", 30) + a + _fresh(f"y{i}_", 30)) for i in range(1, 13)}
+    rows = [*texts.items(), (20, texts[3]), (2, texts[3]), (0, texts[7])]
+    got = sorted((r["doc_id"], r["other_id"], r["start"], r["end"]) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # texts 3 and 7 are stood for by documents 2 and 0; document 2 has two texts
+    assert [g for g in got if g[2:] == (0, 120)] == [(3, 2, 0, 120), (7, 0, 0, 120), (20, 2, 0, 120)]
+    reps = [0, 1, 2, 4, 5, 6, 8, 9, 10, 11, 12]
+    assert {g[:2] for g in got if g[2:] == (30, 90)} == {(p, q) for p in reps for q in reps if p > q}
+
+    h, same, doc, pos = (np.array(c) for c in zip(*sorted((h, d % 9, d, p) for h in (-4, 7) for d in range(40) for p in (3, 8)[:1 + d % 2])))
+    whole = [np.concatenate(c).tolist() for c in zip(*passages.matches(h, same, doc, pos))]
+    monkeypatch.setattr(passages, "SLAB", 5)
+    parts = [np.concatenate(c).tolist() for c in zip(*passages.matches(h, same, doc, pos))]
+    assert whole == parts and {p for p in zip(*whole[:2])} == {(p, q) for p in range(9) for q in range(p)}
+    assert len(whole[0]) == len(set(zip(*whole))) * 2  # both seeds have the same places
+
+
 def _found(r, n, rate):
     """Whether a passage of n words with a share of words changed is found between two texts."""
     a, pad = _fresh("a", n), lambda t: _fresh(t, 60)
