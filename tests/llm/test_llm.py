@@ -7,6 +7,7 @@ import zlib
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from gaugeworks.llm import article, lanes, maxscore, mixing, packing, passages, personal, quality, separators, simhash, token_files, vocab
 from gaugeworks.llm.common import shared_dir
@@ -324,6 +325,43 @@ def test_passages_of_many_holders_meet_in_all_pairs(spark, monkeypatch):
     assert len(whole[0]) == len(set(zip(*whole))) * 2  # both seeds have the same places
 
 
+def test_passages_of_common_lines_meet_only_near_other_seeds(monkeypatch):
+    line, wide = _fresh("line", 8), _fresh("wide", 24)
+    texts = []
+    for i in range(60):
+        own = lambda t: _fresh(f"x{i}{t}_", 30)
+        kind = i % 3
+        texts.append(own("a") + line + own("b") + (wide if kind == 1 else line + own("c") if kind == 2 and i % 2 else []) + (_fresh(f"pair{i // 2}_", 20) if i < 20 else []) + own("d"))
+    rows = [(h, i, i, p) for i, w in enumerate(texts) for h, p in zip(*map(np.ndarray.tolist, passages.seeds(" ".join(w))))]
+    texts_of = {h: {i for g, i, _, _ in rows if g == h} for h in {x[0] for x in rows}}
+    rows = sorted(x for x in rows if len(texts_of[x[0]]) > 1)
+
+    def made(hot):
+        by_text = sorted(rows, key=lambda x: (x[2], x[1], x[3], x[0]))
+        cols = [np.array([x[k] for x in by_text]) for k in range(4)]
+        batch = passages._batch((*cols, np.array([len(texts_of[x[0]]) > hot for x in by_text])), passages.SHARED_SCHEMA)
+        # small batches, whose cuts fall within texts and seeds
+        got = pa.Table.from_batches(list(passages._context_rows(batch.slice(k, 7) for k in range(0, len(by_text), 7))))
+        got = got.sort_by([(k, "ascending") for k in ("h", "same", "doc_id", "pos")]).combine_chunks().to_batches()[0]
+        out = [b.to_pydict() for b in passages._match_rows(got.slice(k, 5) for k in range(0, got.num_rows, 5))]
+        return [x for b in out for x in zip(b["hi"], b["lo"], b["x"], b["y"])]
+
+    def kept(found):
+        out = {}
+        for hi, lo in {m[:2] for m in found}:
+            x, y = (np.array(c) for c in zip(*sorted({m[2:] for m in found if m[:2] == (hi, lo)})))
+            got = [tuple(zip(x[c].tolist(), y[c].tolist())) for c in passages.chains(x, y) if min(np.ptp(x[c]), np.ptp(y[c])) + passages.K >= passages.SPREAD]
+            out.update({(hi, lo): sorted(got)} if got else {})
+        return out
+
+    every = made(10 ** 9)
+    for slab in (passages.SLAB, 9):
+        monkeypatch.setattr(passages, "SLAB", slab)
+        few = made(2)
+        assert set(few) <= set(every) and len(few) == len(set(few)) and kept(few) == kept(every)
+        assert 2 * len(few) < len(every)
+
+
 def _found(r, n, rate):
     """Whether a passage of n words with a share of words changed is found between two texts."""
     a, pad = _fresh("a", n), lambda t: _fresh(t, 60)
