@@ -18,6 +18,8 @@ WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{
 #: Cutting before a space is exact unless white space meets white space or stands at an end.
 UNEVEN = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$"
 MAX_PIECES = 400_000
+#: Pieces that are encoded as one text.
+TOGETHER = 64
 
 
 def vocabulary(name: str) -> str:
@@ -39,7 +41,12 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tok, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tok.encode_special_tokens, self.whole.encode_special_tokens = True, not special
-        strings = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special]
+        added = self.tok.get_added_tokens_decoder().items()
+        strings = [t.content for _, t in added if t.special]
+        # a special token that stands by itself parts the pieces of one text
+        marks = [(t.content, i) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
+        self.mark, self.mark_id = marks[0] if marks else ("", -1)
+        self.others = [t for t in strings if t != self.mark]
         self.special = "|".join(map(re.escape, strings)) if special else ""
         self.spaced, self.folded = spaced, folded
         self._clear()
@@ -50,22 +57,37 @@ class Encoder:
         self.start, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self._add(["", ",", "."])
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, end to end, and how many each has."""
+        parts = [pieces[i:i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        joined = [self.mark.join([*p, ""]) for p in parts]
+        self.tok.encode_special_tokens = False
+        found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
+        self.tok.encode_special_tokens = True
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for part, text, got in zip(parts, joined, found):
+            at = np.flatnonzero(got == self.mark_id)
+            if self.mark and len(at) == text.count(self.mark) == len(part) and not any(t in text for t in self.others):
+                ids.append(got[got != self.mark_id])
+                sizes.append(np.diff(at, prepend=-1) - 1)
+            else:  # a piece holds the string of a special token
+                one = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+                ids.append(np.array([i for x in one for i in x], np.uint32))
+                sizes.append(np.array([len(x) for x in one], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _add(self, pieces: list[str]):
-        ids = self._ids(pieces)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        need, at = self.used + int(n.sum()), len(self.rows)
+        ids, n = self._ids(pieces)
+        need, at = self.used + len(ids), len(self.rows)
         while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + len(ids) > len(self.start):
+        while at + len(n) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used:need] = np.fromiter((i for x in ids for i in x), np.uint32, need - self.used)
-        self.start[at:at + len(ids)] = self.used + np.cumsum(n) - n
-        self.size[at:at + len(ids)] = n
+        self.flat[self.used:need] = ids
+        self.start[at:at + len(n)] = self.used + np.cumsum(n) - n
+        self.size[at:at + len(n)] = n
         self.used = need
-        self.rows.update(zip(pieces, range(at, at + len(ids))))
+        self.rows.update(zip(pieces, range(at, at + len(n))))
 
     def _rows_of(self, distinct: pa.Array, lead: str) -> np.ndarray:
         keys = [lead + x for x in distinct.to_pylist()] if lead else distinct.to_pylist()

@@ -80,6 +80,26 @@ def test_special_strings_can_be_spelled_out():
     assert vocab.Encoder(path, True, False).encode(pa.array([text]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("file,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_encoded_together(file, spaced):
+    enc = vocab.Encoder(vocab.vocabulary(file), spaced, not spaced)
+    pieces = ["", "a", *(f"w{i}é," for i in range(200)), "x<|endoftext|>y", "<|endoftext|>", "<|startoftext|>", "<|endoftext|", "|>", "日本 語", *(f"v{i}" for i in range(70))]
+    calls, tok = [], enc.tok
+
+    class Counted:
+        encode_special_tokens = property(lambda self: tok.encode_special_tokens, lambda self, v: setattr(tok, "encode_special_tokens", v))
+
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return tok.encode_batch_fast(texts, **more)
+
+    enc.tok = Counted()
+    ids, size = enc._ids(pieces)
+    want = [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]   # special strings are spelled out
+    assert size.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert len(calls) < len(pieces) / 2   # one text for many pieces, and one by one only beside special strings
+
+
 def test_token_files(spark, docs, none):
     folder = shared_dir(spark, "t")
     token_files.write_ids(docs, folder)
