@@ -383,6 +383,32 @@ def test_passages_of_common_lines_meet_only_near_other_seeds(monkeypatch):
         assert 2 * len(set(few)) < len(set(every))
 
 
+def test_passages_of_very_many_holders_follow_from_a_hub(spark):
+    a, b = _fresh("a", 60), _fresh("b", 60)
+    own = lambda i, t: _fresh(f"x{i}{t}_", 20)
+    texts = {i: own(i, "p") + (a if i < 31 else b) + own(i, "q") for i in range(1, 61)}
+    texts[101], texts[102] = own(101, "p") + a + b + own(101, "q"), own(102, "p") + a[30:] + b[:30] + own(102, "q")
+    texts |= {i: own(i, "p") + ["the"] * (i - 150) + own(i, "q") for i in range(210, 250)}
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["other_id"]): (r["start"], r["end"], r["other_start"], r["other_end"]) for r in got}
+    assert len(got) == len(pairs) <= 140      # 30 * 29 + 40 * 39 / 2 and more in all pairs
+    # two texts share what their places in a hub have in common
+    for group, words in ((range(1, 31), lambda i: 60), (range(31, 61), lambda i: 60), (range(210, 250), lambda i: i - 150)):
+        hub = max(group, key=lambda i: sum(i in p for p in pairs))
+        for i in set(group) - {hub}:
+            place = pairs[max(i, hub), min(i, hub)]
+            assert place[0] == place[2] == 20 and place[1] == place[3] == 20 + min(words(i), words(hub))
+    assert (101, 1) in pairs and (101, 31) in pairs
+    assert pairs[102, 101] == (20, 80, 50, 110)     # too little of either hub
+
+
+def test_passages_by_runs_of_one_word_keep_few_seeds():
+    h, pos = passages.seeds("the " * 400)
+    assert len(h) < 60 and (np.diff(np.sort(pos)) <= passages.RUN + passages.WINDOW).all()
+    broken, _ = passages.seeds(" ".join((["the"] * 12 + ["x"]) * 30))
+    assert len(set(h.tolist()) & set(broken.tolist())) > 15
+
+
 def _found(r, n, rate):
     """Whether a passage of n words with a share of words changed is found between two texts."""
     a, pad = _fresh("a", n), lambda t: _fresh(t, 60)
